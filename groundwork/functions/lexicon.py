@@ -79,5 +79,8 @@ def _accent_pairs() -> tuple[str, str]:
 
 ACCENTED, UNACCENTED = _accent_pairs()
 
+# Every combining mark; a translation drops what has no counterpart.
+MARKS = "".join(chr(c) for c in range(0x300, 0x20000) if unicodedata.category(chr(c))[0] == "M")
+
 # Everything the JVM's String.trim() removes: U+0000 to U+0020.
 TRIMMED = "".join(map(chr, range(0x21)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +10,20 @@ from pyspark.sql import functions as F
 from groundwork.functions import lexicon as lex
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times inside ``body``."""
+    return F.transform(F.array(value), body)[0]
+
+
+def once(**columns: Column) -> Column:
+    """Columns computed exactly once per row, to be selected before rows multiply.
+
+    Generated code puts off a projected expression until it is used, which after an exploding
+    join or generator means once per output row. A generator of one row settles it.
+    """
+    return F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
+
+
 def trim(text: Column) -> Column:
     """Cut everything up to U+0020 from both ends; Spark's own trim only knows the space."""
     return F.btrim(text, F.lit(lex.TRIMMED))
@@ -59,8 +73,7 @@ def chunk_hash(content: Column) -> Column:
 
 
 def fold_accents(text: Column) -> Column:
-    lowered = F.translate(F.lower(text), lex.ACCENTED, lex.UNACCENTED)
-    return F.regexp_replace(lowered, r"\p{M}+", "")
+    return F.translate(F.lower(text), lex.ACCENTED + lex.MARKS, lex.UNACCENTED)
 
 
 def normalize(text: Column) -> Column:
@@ -70,12 +83,20 @@ def normalize(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """The normalized words in order. May hold empty strings at the ends."""
-    return F.split(normalize(text), r"[^a-z0-9]+")
+    return F.split(fold_accents(F.coalesce(text, F.lit(""))), r"[^a-z0-9]+")
+
+
+def quoted(words: Sequence[str]) -> str:
+    return ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words)
+
+
+def word_list(words: Sequence[str]) -> Column:
+    return F.expr(f"cast(array({quoted(words)}) as array<string>)")
 
 
 def query_terms(query: Column, stop_words: Sequence[str], limit: int = 16) -> Column:
     """The words worth searching for, accents kept, in first-seen order."""
-    stop = F.array(*[F.lit(w) for w in stop_words]) if stop_words else F.array().cast("array<string>")
+    stop = word_list(stop_words)
     raw = F.split(F.lower(query), r"[^\p{L}\p{N}]+")
     kept = F.filter(
         raw,
@@ -86,20 +107,16 @@ def query_terms(query: Column, stop_words: Sequence[str], limit: int = 16) -> Co
 
 def stem(word: Column) -> Column:
     """Light stem: six letters of a long word, one letter less of a middle one."""
-    return (
-        F.when(F.length(word) >= 7, F.substring(word, 1, 6))
-        .when(F.length(word) >= 5, F.substring(word, F.lit(1), F.length(word) - 1))
-        .otherwise(word)
-    )
-
-
-def is_searchable(word: Column, stop_words: Sequence[str]) -> Column:
-    return (word != "") & ~word.isin(*stop_words) if stop_words else word != ""
+    size = F.length(word)
+    shorter = F.least(size - 1, F.lit(6))
+    return F.when(size >= 5, F.substring(word, F.lit(1), shorter)).otherwise(word)
 
 
 def analyze(text: Column, stop_words: Sequence[str]) -> Column:
     """Stemmed search tokens of a text: what a stored full-text column holds."""
-    return F.transform(F.filter(words(text), lambda w: is_searchable(w, stop_words)), stem)
+    stop = word_list(stop_words)
+    kept = F.filter(words(text), lambda w: (w != "") & ~F.array_contains(stop, w))
+    return F.transform(kept, stem)
 
 
 def embedding_text(title: Column, content: Column) -> Column:

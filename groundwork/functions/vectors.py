@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from groundwork.functions.text import fold_accents
+from groundwork.functions.text import bind, fold_accents
 
 VECTOR_OK = "OK"
 
@@ -46,22 +46,19 @@ def hashed_words(text: Column, dimensions: int) -> Column:
             F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"), F.lit(dimensions)
         ).cast("int"),
     )
-    # With the slots bound once, a slot's count is what removing it takes away.
-    dense = F.transform(
-        F.array(slots),
-        lambda s: F.transform(
+
+    def counts(bound: Column) -> Column:
+        # A slot's count is what removing it takes away.
+        return F.transform(
             F.sequence(F.lit(0), F.lit(dimensions - 1)),
-            lambda d: (F.size(s) - F.size(F.array_remove(s, d))).cast("double"),
-        ),
-    )
-    return F.transform(dense, _normalized)[0]
+            lambda d: (F.size(bound) - F.size(F.array_remove(bound, d))).cast("double"),
+        )
+
+    return bind(bind(slots, counts), _normalized)
 
 
 def _normalized(counts: Column) -> Column:
     total = F.aggregate(counts, F.lit(0.0), lambda acc, x: acc + x * x)
     first = F.transform(counts, lambda x, i: F.when(i == 0, 1.0).otherwise(0.0).cast("float"))
-    scaled = F.transform(
-        F.array(F.sqrt(total)),
-        lambda norm: F.transform(counts, lambda x: (x / norm).cast("float")),
-    )[0]
+    scaled = bind(F.sqrt(total), lambda n: F.transform(counts, lambda x: (x / n).cast("float")))
     return F.when(total == 0, first).otherwise(scaled)

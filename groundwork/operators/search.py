@@ -59,22 +59,23 @@ def hybrid_search(
     chunks: DataFrame,
     words: ft.Vocabulary,
     visibility: DataFrame | None = None,
-    dimensions: int | None = None,
+    vectors: DataFrame | None = None,
+    dimensions: int = 768,
     top_k: int = TOP_K,
 ) -> DataFrame:
     """Best chunks per question.
 
     ``questions(query_id, query[, scope][, embedding])``,
-    ``chunks(chunk_id, document_id, title, content[, embedding])``. Without question vectors only
-    the text ranking counts, as when no embedding model can be reached.
+    ``chunks(chunk_id, document_id, title, content)``,
+    ``vectors(chunk_id, document_id, embedding)``. Without vectors only the text ranking counts,
+    as when no embedding model can be reached.
     """
     asked = questions.where(~is_blank(F.col("query")))
     matches = ft.match_questions(chunks, asked, words, visibility)
     text = ft.lexical_candidates(matches, chunks, asked, words)
-    if dimensions is None or "embedding" not in questions.columns:
+    if vectors is None or "embedding" not in questions.columns:
         vector = text.sparkSession.createDataFrame([], _vector_schema(text))
     else:
-        vectors = chunks.select("chunk_id", "document_id", "embedding")
         if visibility is not None:
             kind = dict(visibility.dtypes)["subjects"].removeprefix("array<").removesuffix(">")
             vectors = with_visibility(vectors, visibility, kind)
@@ -89,4 +90,4 @@ def _vector_schema(text: DataFrame) -> str:
 
 def with_sources(results: DataFrame, chunks: DataFrame) -> DataFrame:
     """Result rows with the title and text of their chunk. There are few results per question."""
-    return results.join(chunks.drop("embedding"), "chunk_id", "left")
+    return results.join(chunks, "chunk_id", "left")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundwork.functions import lexicon as lex
-from groundwork.functions.text import chunk_hash, is_blank, trim
+from groundwork.functions.text import bind, chunk_hash, is_blank, trim
 
 STRUCTURED_QA = "STRUCTURED_QA"
 LEGAL_SECTION = "LEGAL_SECTION"
@@ -25,11 +25,6 @@ Segmenter = Callable[[Column, Column | None], Column]
 _CUT = "\uFDD0"
 
 
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it many times inside ``body``."""
-    return F.transform(F.array(value), body)[0]
-
-
 def first_page_with(content: Column, pages: Column, sample: int = 50) -> Column:
     """First page that contains the start of a chunk, 1 when there is none."""
     probe = F.substring(content, 1, sample)
@@ -74,7 +69,7 @@ def _window_bounds(text: Column, size: int, overlap: int) -> Column:
         return F.struct(at.cast("int").alias("at"), done.alias("done"), cuts.alias("cuts"))
 
     def advance(acc: Column, _: Column) -> Column:
-        moved = _bind(
+        moved = bind(
             end_of(acc["at"]),
             lambda e: state(
                 F.when(e - overlap <= acc["at"], e).otherwise(e - overlap),
@@ -111,13 +106,13 @@ def recursive(text: Column, pages: Column | None, size: int = 1000, overlap: int
             ),
         )
 
-    return _bind(trim(text), cut)
+    return bind(trim(text), cut)
 
 
 def _at_headings(text: Column, heading: str, piece: Callable[[Column], Column]) -> Column:
     """Pieces from heading to heading; what stands before the first heading is dropped."""
     cut = F.split(F.regexp_replace(text, heading, _CUT + "$0"), _CUT)
-    return _bind(cut, lambda parts: F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1), piece))
+    return bind(cut, lambda parts: F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1), piece))
 
 
 def structured_qa(text: Column, pages: Column | None) -> Column:

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,16 +77,27 @@ class Best:
         self.ids: np.ndarray | None = None
         self.similarity: np.ndarray | None = None
 
-    def add(self, ids: np.ndarray, vectors: np.ndarray, default: np.ndarray, subjects: list) -> None:
+    def add(self, batch: pa.RecordBatch) -> None:
+        """Compare a batch of chunks. Vectors without a cosine with the questions are passed over."""
+        vectors = batch.column("embedding")
+        right_length = pc.equal(pc.list_value_length(vectors), self.questions.unit.shape[1])
+        batch = batch.filter(right_length)
+        matrix = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
+        matrix = matrix.astype(np.float64).reshape(batch.num_rows, -1)
+        norms = np.linalg.norm(matrix, axis=1)
+        usable = np.flatnonzero(np.isfinite(norms) & (norms > 0))
+        unit = matrix[usable] / norms[usable, None]
+        ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)[usable]
+        default = batch.column("default_visible").to_numpy(zero_copy_only=False)[usable].astype(bool)
+        subjects = batch.column("subjects").take(pa.array(usable)).to_pylist()
         step = max(1, _BLOCK // len(self.questions.ids))
         for at in range(0, len(ids), step):
-            self._add(ids[at : at + step], vectors[at : at + step], default[at : at + step],
-                      subjects[at : at + step])
+            part = slice(at, at + step)
+            self._add(ids[part], unit[part], default[part], subjects[part])
 
-    def _add(self, ids: np.ndarray, vectors: np.ndarray, default: np.ndarray, subjects: list) -> None:
+    def _add(self, ids: np.ndarray, unit: np.ndarray, default: np.ndarray, subjects: list) -> None:
         by_id = np.argsort(ids, kind="stable")
-        ids, vectors = ids[by_id], vectors[by_id]
-        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        ids, unit = ids[by_id], unit[by_id]
         similarity = np.round(self.questions.unit @ unit.T, 6)
         seen = self.questions.visible(default[by_id], [subjects[i] for i in by_id])
         similarity[~seen] = -np.inf
@@ -128,15 +140,13 @@ def _output_schema(chunks: DataFrame, questions: DataFrame) -> str:
     return f"query_id {query}, chunk_id {chunk}, similarity double"
 
 
-def _usable(chunks: DataFrame, dimensions: int) -> DataFrame:
-    """Chunk vectors that have a cosine, with their visibility (all visible if none is given)."""
+def _stored(chunks: DataFrame) -> DataFrame:
+    """Chunk vectors with their visibility (all visible if none is given)."""
     if "subjects" not in chunks.columns:
         chunks = chunks.withColumn("subjects", F.array().cast("array<string>")).withColumn(
             "default_visible", F.lit(True)
         )
-    return chunks.where(vx.is_usable(F.col("embedding"), dimensions)).select(
-        "chunk_id", "embedding", "subjects", "default_visible"
-    )
+    return chunks.select("chunk_id", "embedding", "subjects", "default_visible")
 
 
 def _asked(questions: DataFrame, dimensions: int) -> DataFrame:
@@ -161,7 +171,7 @@ def vector_topk(
     group_rows: int = 20_000,
 ) -> DataFrame:
     """Exact ``query_id, chunk_id, similarity, rank``: the ``k`` nearest visible chunks."""
-    stored, asked = _usable(chunks, dimensions), _asked(questions, dimensions)
+    stored, asked = _stored(chunks), _asked(questions, dimensions)
     if is_small(asked, shipped):
         partial = _scan_with(stored, asked, k)
     else:
@@ -179,32 +189,21 @@ def _scan_with(stored: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(Questions.of(shipped.value), k)
         for batch in batches:
-            if batch.num_rows:
-                vectors = batch.column("embedding")
-                matrix = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                best.add(
-                    batch.column("chunk_id").to_numpy(zero_copy_only=False),
-                    matrix.reshape(batch.num_rows, -1),
-                    batch.column("default_visible").to_numpy(zero_copy_only=False).astype(bool),
-                    batch.column("subjects").to_pylist(),
-                )
+            best.add(batch)
         yield pa.RecordBatch.from_pandas(pd.DataFrame(best.rows()), preserve_index=False)
 
     return stored.mapInArrow(run, schema)
 
 
 def _nearest_in_group(k: int):
-    def run(_: tuple, stored: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if stored.empty or asked.empty:
-            return pd.DataFrame({"query_id": [], "chunk_id": [], "similarity": []})
-        best = Best(Questions.of(asked), k)
-        best.add(
-            stored["chunk_id"].to_numpy(),
-            np.stack([np.asarray(v, dtype=np.float64) for v in stored["embedding"]]),
-            stored["default_visible"].to_numpy().astype(bool),
-            stored["subjects"].tolist(),
-        )
-        return pd.DataFrame(best.rows())
+    def run(_: tuple, stored: pa.Table, asked: pa.Table) -> pa.Table:
+        best = Best(Questions.of(asked.to_pandas()), k) if asked.num_rows else None
+        if best:
+            for batch in stored.combine_chunks().to_batches():
+                best.add(batch)
+        rows = best.rows() if best else {"query_id": [], "chunk_id": [], "similarity": []}
+        kinds = [asked.schema.field("query_id").type, stored.schema.field("chunk_id").type, pa.float64()]
+        return pa.table([pa.array(v, type=t) for v, t in zip(rows.values(), kinds)], names=list(rows))
 
     return run
 
@@ -223,7 +222,7 @@ def _meet_on_grid(
     right = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), blocks).cast("int"))
     left = left.withColumn("_block", _all_up_to(blocks)).groupBy("_block", "_cell")
     right = right.withColumn("_cell", _all_up_to(cells)).groupBy("_block", "_cell")
-    return left.cogroup(right).applyInPandas(_nearest_in_group(k), _output_schema(stored, asked))
+    return left.cogroup(right).applyInArrow(_nearest_in_group(k), _output_schema(stored, asked))
 
 
 def _cell_finder(centers: np.ndarray, count: int):
@@ -258,7 +257,8 @@ def vector_topk_approx(
     from pyspark.ml.feature import Normalizer
     from pyspark.ml.functions import array_to_vector
 
-    stored, asked = _usable(chunks, dimensions), _asked(questions, dimensions)
+    stored, asked = _stored(chunks), _asked(questions, dimensions)
+    stored = stored.where(vx.is_usable(F.col("embedding"), dimensions))
     raw = stored.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("raw"))
     unit = Normalizer(inputCol="raw", outputCol="features").transform(raw).select("features")
     model = KMeans(k=cells, seed=seed, maxIter=10).fit(unit)
@@ -270,7 +270,9 @@ def vector_topk_approx(
         F.ceil(F.count(F.lit(1)) / group_rows).cast("int").alias("_parts")
     )
     placed = placed.join(F.broadcast(parts), "_cell")  # one row per cell
-    left = placed.withColumn("_part", F.pmod(F.xxhash64("chunk_id"), F.col("_parts")).cast("int"))
+    left = placed.withColumn(
+        "_part", F.pmod(F.xxhash64("chunk_id"), F.col("_parts")).cast("int")
+    ).drop("_parts")
 
     blocks = F.lit(max(1, -(-asked.count() // question_rows)))
     right = (
@@ -278,12 +280,13 @@ def vector_topk_approx(
         .withColumn("_block", F.pmod(F.xxhash64("query_id"), blocks).cast("int"))
         .join(F.broadcast(parts), "_cell")
         .withColumn("_part", _all_up_to(F.col("_parts")))
+        .drop("_parts")
     )
     left = left.withColumn("_block", _all_up_to(blocks))
     key = ["_cell", "_part", "_block"]
     partial = (
         left.groupBy(*key)
         .cogroup(right.groupBy(*key))
-        .applyInPandas(_nearest_in_group(k), _output_schema(stored, asked))
+        .applyInArrow(_nearest_in_group(k), _output_schema(stored, asked))
     )
     return _best_overall(partial, k)

@@ -13,6 +13,7 @@ from groundwork.operators import vector_search as vs
 from groundwork.plans import duck
 from groundwork.plans.registry import query
 from groundwork.plans.views import STOP_WORDS, UBIQUITOUS, Inputs
+from groundwork.session import settle
 
 WORDS = ft.Vocabulary(STOP_WORDS, UBIQUITOUS)
 DIMENSIONS = duck.DIMENSIONS
@@ -25,18 +26,17 @@ def visibility(i: Inputs) -> DataFrame:
 
 
 def scoped_questions(i: Inputs) -> DataFrame:
-    questions = i.bench_queries
-    scopes = scope.resolve_subject_scope(questions, i.subject_requests, i.subjects)
-    return questions.join(scopes, "query_id")
-
-
-def embedded_questions(i: Inputs) -> DataFrame:
-    return scoped_questions(i).withColumn("embedding", vx.hashed_words(F.col("query"), DIMENSIONS))
+    """The questions with scope and vector, written once: a search reads them many times."""
+    scopes = scope.resolve_subject_scope(i.bench_queries, i.subject_requests, i.subjects)
+    vector = vx.hashed_words(F.col("query"), DIMENSIONS)
+    return settle(i.bench_queries.join(scopes, "query_id").withColumn("embedding", vector), "questions")
 
 
-def embedded_chunks(i: Inputs) -> DataFrame:
+def chunk_vectors(i: Inputs) -> DataFrame:
     whole = tx.embedding_text(F.col("title"), F.col("content"))
-    return i.chunk_docs.withColumn("embedding", vx.hashed_words(whole, DIMENSIONS))
+    return i.chunk_docs.select(
+        "chunk_id", "document_id", vx.hashed_words(whole, DIMENSIONS).alias("embedding")
+    )
 
 
 def matches(i: Inputs) -> DataFrame:
@@ -254,8 +254,10 @@ def cover_density_rank(i: Inputs) -> DataFrame:
 
 @query("term_overlap_score", "SELECT query_id, chunk_id, lexical_score FROM scored_pairs", VIEWS)
 def term_overlap_score(i: Inputs) -> DataFrame:
-    pairs = matches(i).select("query_id", "chunk_id").distinct()
-    return ft.score_pairs(pairs, i.chunk_docs, i.bench_queries, WORDS)
+    questions = scoped_questions(i)
+    found = ft.match_questions(i.chunk_docs, questions, WORDS, visibility(i))
+    pairs = found.select("query_id", "chunk_id").distinct()
+    return ft.score_pairs(pairs, i.chunk_docs, questions, WORDS)
 
 
 @query(
@@ -279,7 +281,9 @@ def lexical_scan(i: Inputs) -> DataFrame:
     VIEWS,
 )
 def lexical_candidates(i: Inputs) -> DataFrame:
-    return ft.lexical_candidates(matches(i), i.chunk_docs, i.bench_queries, WORDS)
+    questions = scoped_questions(i)
+    found = ft.match_questions(i.chunk_docs, questions, WORDS, visibility(i))
+    return ft.lexical_candidates(found, i.chunk_docs, questions, WORDS)
 
 
 # -- vector ranking ------------------------------------------------------------------------
@@ -330,16 +334,18 @@ RESULT = [
 
 @query("rrf_fuse", _FUSED, VIEWS)
 def rrf_fuse(i: Inputs) -> DataFrame:
-    text = ft.lexical_candidates(matches(i), i.chunk_docs, i.bench_queries, WORDS)
-    seen = scope.with_visibility(embedded_chunks(i), visibility(i), "string")
-    vector = vs.vector_topk(seen, embedded_questions(i), DIMENSIONS)
+    questions = scoped_questions(i)
+    found = ft.match_questions(i.chunk_docs, questions, WORDS, visibility(i))
+    text = ft.lexical_candidates(found, i.chunk_docs, questions, WORDS)
+    seen = scope.with_visibility(chunk_vectors(i), visibility(i), "string")
+    vector = vs.vector_topk(seen, questions, DIMENSIONS)
     return search.rrf_fuse(vector, text).select(*RESULT)
 
 
 @query("hybrid_search", _FUSED + " WHERE rank <= 4", VIEWS)
 def hybrid_search(i: Inputs) -> DataFrame:
     return search.hybrid_search(
-        embedded_questions(i), embedded_chunks(i), WORDS, visibility(i), DIMENSIONS
+        scoped_questions(i), i.chunk_docs, WORDS, visibility(i), chunk_vectors(i), DIMENSIONS
     ).select(*RESULT)
 
 

@@ -13,10 +13,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from groundwork.sources.tables import scan, spread
 
-TABLES = (
-    "region nation customer supplier part orders lineitem events documents embeddings pages "
-    "benchmark labels conversations"
-).split()
+TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+    "pages": "page_id long, url string, html string",
+    "benchmark": "item_id long, text string",
+    "labels": "doc_id long, quality int, toxic int",
+    "conversations": "conv_id long, turn long, role string, text string",
+}
 
 # Tables whose rows are long texts, and the key that spreads them over the cores.
 WIDE = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id"}
@@ -335,23 +350,25 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._made: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.view(name) if name in VIEWS else self.table(name)
-
-    def table(self, name: str) -> DataFrame:
-        if name not in TABLES:
-            raise AttributeError(name)
-        table = scan(self.spark, f"{self.folder}/{name}.parquet")
+        if name not in self._made:
+            if name not in VIEWS and name not in TABLES:
+                raise AttributeError(name)
+            self._made[name] = self._view(name) if name in VIEWS else self._table(name)
+        return self._made[name]
+
+    def _table(self, name: str) -> DataFrame:
+        table = scan(self.spark, f"{self.folder}/{name}.parquet", schema=TABLES[name])
         return spread(table, WIDE[name]) if name in WIDE else table
 
-    def view(self, name: str) -> DataFrame:
+    def _view(self, name: str) -> DataFrame:
         sql = VIEWS[name](Spark()).replace(" // ", " DIV ")
         used = _uses(sql, [*VIEWS, *TABLES])
-        frames = {u: getattr(self, u) for u in used}
         for u in used:
             sql = re.sub(rf"((?:FROM|JOIN)\s+){u}\b", rf"\1{{{u}}}", sql)
-        return self.spark.sql(_literal_braces(sql, used), **frames) if used else self.spark.sql(sql)
+        return self.spark.sql(_literal_braces(sql, used), **{u: getattr(self, u) for u in used})
 
 
 def _literal_braces(sql: str, used: list[str]) -> str:

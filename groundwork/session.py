@@ -24,6 +24,7 @@ def build_session(name: str = "groundwork", cpus: str = "*", memory: str = "8g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", "8" if cpus == "*" else cpus)
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
@@ -47,3 +48,14 @@ def is_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 def ship(table: DataFrame, small: bool) -> DataFrame:
     """Broadcast a side whose size was checked; else leave the join to the optimizer."""
     return F.broadcast(table) if small else table
+
+
+def settle(table: DataFrame, purpose: str) -> DataFrame:
+    """Write a table to the shared folder and go on from there.
+
+    For what a plan reads many times: its lineage is cut, its size is known to the optimizer, and
+    the files outlive any executor.
+    """
+    path = scratch_dir(table.sparkSession, purpose)
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)

@@ -38,7 +38,7 @@ def scan(
     spark: SparkSession,
     path: str,
     columns: Sequence[str] | None = None,
-    schema: T.StructType | None = None,
+    schema: T.StructType | str | None = None,
 ) -> DataFrame:
     """A Parquet table, only the named columns."""
     reader = spark.read if schema is None else spark.read.schema(schema)
