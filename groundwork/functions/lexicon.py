@@ -52,6 +52,7 @@ INTERRUPTED_MESSAGE = (
     "Processing was interrupted by an application shutdown; upload the file again"
 )
 DEFAULT_FILE_NAME = "document.pdf"
+DEFAULT_SESSION_TITLE = "Nova Consulta"
 
 # Hosts of the model providers, by provider.
 PROVIDER_HOSTS = {

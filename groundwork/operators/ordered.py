@@ -3,7 +3,8 @@
 A window over one key runs in one task. Here the order is cut into buckets first: a window runs
 inside each (key, bucket), one summary row per bucket is carried on by a window over the
 summaries, and the two are joined. A key that holds a third of all rows is thereby spread over
-its buckets. ``bucket`` must never decrease along the order (an hour, ``id // 100000``, ...).
+its buckets. ``bucket`` must never decrease along the order (an hour, ``id // 100000``, ...). Keys must
+not be null.
 """
 
 from __future__ import annotations
@@ -30,16 +31,9 @@ def _with_carry(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     carried = per_bucket.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        F.col(_BUCKET).alias("_kb"),
-        over_buckets(F.col("_summary"), before).alias("_carry"),
+        *keys, _BUCKET, over_buckets(F.col("_summary"), before).alias("_carry")
     )
-    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    same.append(F.col(_BUCKET) == F.col("_kb"))
-    condition = same[0]
-    for part in same[1:]:
-        condition = condition & part
-    return rows.join(carried, condition, "left").drop("_kb", *[f"_k{i}" for i in range(len(keys))])
+    return rows.join(carried, [*keys, _BUCKET], "left")
 
 
 def number_rows(
@@ -83,6 +77,31 @@ def running_sum(
     )
 
 
+def running_min(
+    rows: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    bucket: Column,
+    value: Column,
+    name: str,
+) -> DataFrame:
+    """Least ``value`` per key up to and including each row."""
+    inside = (
+        Window.partitionBy(*keys, _BUCKET)
+        .orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
+    lowest = (
+        rows.withColumn(_BUCKET, bucket)
+        .withColumn("_value", value)
+        .withColumn("_local", F.min("_value").over(inside))
+    )
+    carried = _with_carry(lowest, keys, F.min("_value"), lambda c, w: F.min(c).over(w))
+    return carried.withColumn(name, F.least("_local", "_carry")).drop(
+        "_local", "_carry", "_value", _BUCKET
+    )
+
+
 def last_before(
     rows: DataFrame,
     keys: Sequence[str],

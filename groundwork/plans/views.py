@@ -248,10 +248,13 @@ def _requests(d):
 
 
 def _ticket_log(d):
+    # A redeem or end names a recent event as its ticket, which may be no ticket, or somebody else's.
     return f"""
     SELECT event_id, user_id % 5 AS user_id, {d.epoch_us("ts")} AS ts,
            CASE event_type WHEN 'signup' THEN 'issue' WHEN 'purchase' THEN 'issue'
-             WHEN 'view' THEN 'redeem' WHEN 'click' THEN 'redeem' ELSE 'end' END AS kind
+             WHEN 'view' THEN 'redeem' WHEN 'click' THEN 'redeem' ELSE 'end' END AS kind,
+           CASE event_type WHEN 'signup' THEN event_id WHEN 'purchase' THEN event_id
+             WHEN 'error' THEN event_id - 2 - event_id % 4 ELSE event_id - 1 - event_id % 3 END AS ticket
     FROM events"""
 
 
@@ -274,7 +277,8 @@ def _stream_lines(d):
     UNION ALL
     SELECT conv_id * 1000 + turn AS stream_id, CAST(1000000 AS BIGINT) AS seq,
       CASE conv_id % 3 WHEN 0 THEN 'GEMINI' WHEN 1 THEN 'OPENAI' ELSE 'CLAUDE' END AS provider,
-      CASE conv_id % 3 WHEN 0 THEN ': end' WHEN 1 THEN 'data: [DONE]' ELSE 'data: {{"type":"message_stop"}}' END AS line
+      CASE WHEN length(text) % 4 = 0 THEN 'error: connection reset'
+           ELSE CASE conv_id % 3 WHEN 0 THEN ': end' WHEN 1 THEN 'data: [DONE]' ELSE 'data: {{"type":"message_stop"}}' END END AS line
     FROM conversations WHERE role = 'assistant'"""
 
 
