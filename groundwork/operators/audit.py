@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from groundwork.functions import text as tx
 from groundwork.operators.ordered import last_before, number_rows, running_sum
+from groundwork.session import settle
 
 
 def estimate_batch_tokens(batches: DataFrame) -> DataFrame:
@@ -53,15 +54,14 @@ def quota_wait_audit(
     total = running_sum(
         waits, ["batch_id"], [F.col("attempt")], bucket, F.col("wait_ms"), "waited_ms"
     )
-    over = F.col("waited_ms") > total_ms
-    paused = total.groupBy("batch_id").agg(F.min(F.when(over, F.col("attempt"))).alias("paused_at"))
-    return total.join(paused, "batch_id").select(
+    before = F.col("waited_ms") - F.col("wait_ms")
+    return total.select(
         "batch_id",
         "attempt",
         "wait_ms",
         "waited_ms",
-        F.when(F.col("attempt") < F.coalesce("paused_at", F.col("attempt") + 1), "WAIT")
-        .when(F.col("attempt") == F.col("paused_at"), "PAUSED")
+        F.when(F.col("waited_ms") <= total_ms, "WAIT")
+        .when(before <= total_ms, "PAUSED")
         .otherwise("NOT_REACHED")
         .alias("outcome"),
     )
@@ -76,7 +76,7 @@ def failed_runs(
     batch numbers may have holes.
     """
     bucket = F.floor(F.col("batch_no") / bucket_width)
-    numbered = number_rows(log, ["run_id"], [F.col("batch_no")], bucket, "_rn")
+    numbered = settle(number_rows(log, ["run_id"], [F.col("batch_no")], bucket, "_rn"), "batches")
     # Distance to the last stored batch is the length of the failed streak.
     failed = F.col("outcome") == "FAILED"
     marked = last_before(
@@ -88,7 +88,7 @@ def failed_runs(
         "_stored_at",
     )
     streak = F.when(failed, F.col("_rn") - F.coalesce("_stored_at", F.lit(0)))
-    marked = marked.withColumn("_streak", streak)
+    marked = settle(marked.withColumn("_streak", streak), "streaks")
     aborts = marked.groupBy("run_id").agg(
         F.min(F.when(F.col("_streak") >= limit, F.col("_rn"))).alias("_abort")
     )

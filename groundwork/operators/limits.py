@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwork.operators.ordered import last_before, running_min, running_sum, split_at_gaps
+from groundwork.session import settle
 
 SECOND = 1_000_000
 HOUR = 3600 * SECOND
@@ -95,15 +96,12 @@ def rate_limit(
     order = ["ts", "event_id"]
     base = requests.select("event_id", "client", "ts")
     split = split_at_gaps(base, ["client"], order, _time_bucket(bucket_width), "ts", period, "opened")
-    spaced = last_before(
-        split, ["client", "opened"], order, _time_bucket(bucket_width), F.col("ts"), "_previous"
-    )
     # No pause as long as the time of one token: the bucket is never full again in this part.
-    gap = F.coalesce(F.max(F.col("ts") - F.col("_previous")), F.lit(0))
-    parts = spaced.groupBy("client", "opened").agg(gap.alias("_gap"))
-    dense = F.lit(capacity >= 2) & (F.col("_gap") * capacity <= period)
+    longest = F.coalesce(F.max("_gap"), F.lit(0))
+    parts = split.groupBy("client", "opened").agg(longest.alias("_longest"))
+    dense = F.lit(capacity >= 2) & (F.col("_longest") * capacity <= period)
     kinds = parts.select("client", "opened", dense.alias("_dense"))
-    marked = spaced.drop("_previous").join(kinds, ["client", "opened"])
+    marked = split.drop("_gap").join(kinds, ["client", "opened"])
     busy = _accept_dense(marked.where(F.col("_dense")).drop("_dense"), capacity, period)
     calm = replay(
         marked.where(~F.col("_dense")).drop("_dense"),
@@ -129,7 +127,7 @@ def _accept_dense(rows: DataFrame, capacity: int, period: int) -> DataFrame:
     slotted = rows.withColumn(
         "slot", F.floor((F.col("ts") - F.col("opened")) * capacity / period).cast("long")
     )
-    counts = slotted.groupBy(*key, "slot").agg(F.count(F.lit(1)).alias("n"))
+    counts = settle(slotted.groupBy(*key, "slot").agg(F.count(F.lit(1)).alias("n")), "slots")
     bucket = F.floor(F.col("slot") / 10_000)
     summed = running_sum(counts, key, [F.col("slot")], bucket, F.col("n"), "total")
     room = F.col("slot") + capacity - F.col("total")
@@ -211,7 +209,7 @@ def inflight_limit(
         lambda permits, row: permits.handle(*row),
         "outcome string",
         ["ts", "kind", "ticket"],
-    ).drop("opened")
+    ).drop("opened", "_gap")
 
 
 # -- streams -------------------------------------------------------------------------------

@@ -14,6 +14,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from groundwork.session import settle
+
 _BUCKET = "_bucket"
 
 
@@ -142,11 +144,20 @@ def split_at_gaps(
     gap: int,
     name: str,
 ) -> DataFrame:
-    """Number the stretches of a key that lie at least ``gap`` apart, by their first time."""
+    """Split a key where its rows lie at least ``gap`` apart.
+
+    Each part is named by its first time; ``_gap`` is the distance to the row before inside the
+    part. Both steps are written down: each is read twice by what follows.
+    """
     previous = last_before(rows, keys, order, bucket, F.col(time), "_previous")
-    opens = F.col("_previous").isNull() | (F.col(time) - F.col("_previous") >= gap)
-    flagged = previous.withColumn("_opens", F.when(opens, F.col(time)))
+    distance = F.col(time) - F.col("_previous")
+    opens = F.col("_previous").isNull() | (distance >= gap)
+    flagged = previous.select(
+        *rows.columns,
+        F.when(opens, F.col(time)).alias("_opens"),
+        F.when(~opens, distance).alias("_gap"),
+    )
+    flagged = settle(flagged, "gaps")
     filled = last_before(flagged, keys, order, bucket, F.col("_opens"), "_running")
-    return filled.withColumn(name, F.coalesce("_opens", "_running")).drop(
-        "_previous", "_opens", "_running"
-    )
+    parts = filled.withColumn(name, F.coalesce("_opens", "_running")).drop("_opens", "_running")
+    return settle(parts, "parts")
