@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwork.functions import vectors as vx
-from groundwork.session import is_small
+from groundwork.session import is_small, settle
 
 CANDIDATES = 10
 
@@ -261,11 +261,14 @@ def vector_topk_approx(
     stored = stored.where(vx.is_usable(F.col("embedding"), dimensions))
     raw = stored.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("raw"))
     unit = Normalizer(inputCol="raw", outputCol="features").transform(raw).select("features")
+    unit = unit.persist()
     model = KMeans(k=cells, seed=seed, maxIter=10).fit(unit)
+    unit.unpersist()
     centers = np.stack(model.clusterCenters())
 
+    # The cell table is the index: written once, then read by cell.
     own = _cell_finder(centers, 1)
-    placed = stored.withColumn("_cell", F.element_at(own("embedding"), 1))
+    placed = settle(stored.withColumn("_cell", F.element_at(own("embedding"), 1)), "cells")
     parts = placed.groupBy("_cell").agg(
         F.ceil(F.count(F.lit(1)) / group_rows).cast("int").alias("_parts")
     )
