@@ -9,6 +9,7 @@ from groundwork.functions.text import is_blank
 from groundwork.operators import fulltext as ft
 from groundwork.operators.scope import with_visibility
 from groundwork.operators.vector_search import vector_topk
+from groundwork.session import settle
 
 RANK_OFFSET = 60
 TOP_K = 4
@@ -70,7 +71,7 @@ def hybrid_search(
     ``vectors(chunk_id, document_id, embedding)``. Without vectors only the text ranking counts,
     as when no embedding model can be reached.
     """
-    asked = questions.where(~is_blank(F.col("query")))
+    asked, askers = ask_once(questions.where(~is_blank(F.col("query"))))
     matches = ft.match_questions(chunks, asked, words, visibility)
     text = ft.lexical_candidates(matches, chunks, asked, words)
     if vectors is None or "embedding" not in questions.columns:
@@ -80,7 +81,26 @@ def hybrid_search(
             kind = dict(visibility.dtypes)["subjects"].removeprefix("array<").removesuffix(">")
             vectors = with_visibility(vectors, visibility, kind)
         vector = vector_topk(vectors, asked, dimensions)
-    return rrf_fuse(vector, text, top_k)
+    found = rrf_fuse(vector, text, top_k)
+    return found.join(askers, "query_id").drop("query_id").withColumnRenamed("_asker", "query_id")
+
+
+def ask_once(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Questions without repetitions, and ``query_id, _asker``: who asked each of them.
+
+    The same words in the same scope find the same chunks, however often they are asked.
+    """
+    key = ["query", *[c for c in ("scope",) if c in questions.columns]]
+    rest = [c for c in questions.columns if c not in ("query_id", *key)]
+    once = questions.groupBy(*key).agg(
+        F.min("query_id").alias("query_id"), *[F.min_by(c, "query_id").alias(c) for c in rest]
+    )
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key]
+    condition = same[0] if len(same) == 1 else same[0] & same[1]
+    askers = questions.alias("a").join(once.alias("b"), condition)
+    return settle(once, "asked"), askers.select(
+        F.col("b.query_id").alias("query_id"), F.col("a.query_id").alias("_asker")
+    )
 
 
 def _vector_schema(text: DataFrame) -> str:

@@ -181,7 +181,7 @@ def vector_topk(
 
 def _scan_with(stored: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     schema = _output_schema(stored, asked)
-    frame = asked.toPandas()
+    frame = asked.toArrow().to_pandas()
     if frame.empty:
         return stored.sparkSession.createDataFrame([], schema)
     shipped = stored.sparkSession.sparkContext.broadcast(frame)

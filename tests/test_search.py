@@ -96,6 +96,20 @@ def test_strict_and_relaxed_equal_brute_force(spark):
         assert mine["relaxed"] == sorted((s, n) for s, n in counted if s < 0)[:50]
 
 
+def test_many_questions_take_the_joins_instead_of_broadcasts(spark, monkeypatch):
+    chunks, queries = random_corpus(8, 40)
+    frame, asked = frames(spark, chunks, queries)
+
+    def run():
+        matches = ft.match_questions(frame, asked, WORDS)
+        text = ft.lexical_candidates(matches, frame, asked, WORDS)
+        return sorted(map(tuple, text.collect())), sorted(map(tuple, ft.lexical_scan(frame, asked, WORDS).collect()))
+
+    shipped = run()
+    monkeypatch.setattr(ft, "is_small", lambda table: False)
+    assert run() == shipped
+
+
 def test_relaxed_list_is_cut_before_strict_ones_leave(spark):
     # Twelve chunks: all hold "moon", four hold "moon planet".
     chunks = [(n, n, "", "moon planet" if n < 4 else "moon") for n in range(12)]
@@ -155,6 +169,15 @@ def test_visibility_matrix(spark):
     assert sorted(r["document_id"] for r in scope.visible_docs_filtered(scopes, tags, subjects).collect()) == [1, 4]
 
 
+def test_repeated_questions_get_the_same_answer(spark):
+    chunks, queries = random_corpus(13, 30)
+    frame, asked = frames(spark, chunks, queries + [(1000 + n, q) for n, q in queries])
+    rows = search.hybrid_search(asked, frame, WORDS).collect()
+    first = sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in rows if r["query_id"] < 1000)
+    again = sorted((r["query_id"] - 1000, r["rank"], r["chunk_id"]) for r in rows if r["query_id"] >= 1000)
+    assert first == again and first
+
+
 def test_a_blank_question_finds_nothing_and_no_vectors_still_answers(spark):
     frame, asked = frames(spark, [(1, 1, "moon", "gravity of the moon")], [(1, "  "), (2, "gravity moon")])
     rows = search.hybrid_search(asked, frame, WORDS).collect()

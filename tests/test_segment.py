@@ -90,3 +90,9 @@ def test_writing_twice_equals_writing_once(spark):
     sinks.append_new_chunks(spark, rows, path, buckets=4)
     assert sorted(map(tuple, sinks.read_chunks(spark, path).collect())) == once
     assert {r[0] for r in once} == {0, 1, 2}
+
+
+def test_written_documents_become_indexed(spark):
+    docs_table = spark.createDataFrame([(1, "PROCESSING", None), (2, "FAILED", None)], "document_id long, status string, total_pages int")
+    counts = spark.createDataFrame([(1, 7)], "document_id long, pages int")
+    assert sorted(map(tuple, sinks.mark_indexed(docs_table, counts).select("document_id", "status", "total_pages").collect())) == [(1, "INDEXED", 7), (2, "FAILED", None)]
