@@ -48,7 +48,32 @@ def requests_per_window(i: Inputs) -> DataFrame:
     return limits.requests_per_window(decided, DAY)
 
 
-@query("inflight_limit")
+# Row by row per user: the permits held, as (ticket, time it lapses, redeemed).
+PERMIT_VIEWS = {
+    "tickets": "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM ticket_log",
+    "permits": f"""
+        SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, [{{'t': 0::BIGINT, 'lapses': 0::BIGINT, 'used': false}}][1:0] AS held, NULL::STRING AS outcome
+        FROM tickets WHERE n = 1
+        UNION ALL
+        SELECT user_id, n, event_id,
+          CASE outcome WHEN 'ISSUED' THEN list_append(live, {{'t': ticket, 'lapses': ts + {HOUR}, 'used': false}})
+            WHEN 'STARTED' THEN list_append(others, {{'t': ticket, 'lapses': ts + {2 * HOUR}, 'used': true}})
+            WHEN 'ENDED' THEN others ELSE live END, outcome
+        FROM (SELECT *, CASE kind WHEN 'issue' THEN CASE WHEN len(live) >= 2 THEN 'TOO_MANY' ELSE 'ISSUED' END
+                WHEN 'redeem' THEN CASE WHEN len(list_filter(live, lambda h: h.t = ticket AND NOT h.used)) > 0 THEN 'STARTED' ELSE 'NOT_FOUND' END
+                ELSE CASE WHEN len(list_filter(live, lambda h: h.t = ticket AND h.used)) > 0 THEN 'ENDED' ELSE 'IGNORED' END END AS outcome
+              FROM (SELECT q.*, list_filter(p.held, lambda h: h.lapses > q.ts) AS live,
+                           list_filter(p.held, lambda h: h.lapses > q.ts AND h.t <> q.ticket) AS others
+                    FROM permits p JOIN tickets q ON q.user_id = p.user_id AND q.n = p.n + 1))""",
+}
+
+
+@query(
+    "inflight_limit",
+    """SELECT t.event_id, t.user_id, t.ts, t.kind, t.ticket, p.outcome
+       FROM tickets t JOIN permits p ON p.event_id = t.event_id""",
+    PERMIT_VIEWS,
+)
 def inflight_limit(i: Inputs) -> DataFrame:
     return limits.inflight_limit(i.ticket_log, ticket_ttl=HOUR, stream_timeout=2 * HOUR, bucket_width=DAY)
 
