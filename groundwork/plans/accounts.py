@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundwork.functions import lexicon as lex
 from groundwork.operators import accounts, catalog, quality
 from groundwork.operators.scope import active_subjects as active_only
 from groundwork.plans import duck

@@ -6,7 +6,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from groundwork.operators import fulltext as ft
 from groundwork.operators import grounding, scope, search
