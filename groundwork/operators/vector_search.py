@@ -242,7 +242,7 @@ def vector_topk_approx(
     dimensions: int,
     k: int = CANDIDATES,
     cells: int = 16,
-    probes: int = 6,
+    probes: int = 10,
     group_rows: int = 20_000,
     question_rows: int = SHIPPED_QUESTIONS,
     seed: int = 42,

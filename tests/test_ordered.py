@@ -208,3 +208,31 @@ def test_base_urls(spark, url, provider, verdict):
     assert accounts.url_allowlist_audit(frame).first()["verdict"] == verdict
 
 
+
+
+def test_live_budget_use(spark):
+    rows = [(0, 5, 100), (10 * SECOND, 200, 90_000), (70 * SECOND, 1, 1), (9000 * SECOND, 1, 1)]
+    out = run_stream(spark, rows, "ts long, texts long, tokens long", lambda s: live.quota_usage_stream(timed(s)), 1)
+    # A batch never counts for more than one minute's budget.
+    got = sorted((r["texts"], r["tokens"], r["over_budget"]) for r in out.collect())
+    assert got == [(1, 1, False), (95, 25_100, True)]
+
+
+def test_live_stretches_of_a_stream(spark):
+    rows = [("s", 0), ("s", 30 * SECOND), ("s", 200 * SECOND), ("t", 9000 * SECOND)]
+    out = run_stream(spark, rows, "stream_id string, ts long", lambda s: live.stalled_sessions_stream(timed(s)), 1)
+    assert sorted(r["lines"] for r in out.collect()) == [1, 2]
+
+
+def test_live_files_are_taken_once(spark):
+    rows = [(1, "same", 0), (2, "same", SECOND), (3, "other", 2 * SECOND)]
+    out = run_stream(spark, rows, "document_id long, text string, ts long", lambda s: streams.first_of_each_file(timed(s)), 1)
+    assert sorted(r["text"] for r in out.collect()) == ["other", "same"]
+
+
+def test_stalled_streams(spark):
+    rows = [("ok", 0, 0), ("ok", 1, 50), ("idle", 2, 0), ("idle", 3, 30), ("idle", 4, 95), ("long", 5, 0)]
+    rows += [("long", 10 + n, 40 * n) for n in range(1, 6)]
+    frame = spark.createDataFrame([(s, e, t * SECOND) for s, e, t in rows], "stream_id string, event_id long, ts long")
+    got = {r["stream_id"]: (r["state"], r["aborted_at"]) for r in limits.stalled_streams(frame, bucket_width=40 * SECOND).collect()}
+    assert got == {"ok": ("OK", None), "idle": ("IDLE", 90 * SECOND), "long": ("DEADLINE", 170 * SECOND)}
