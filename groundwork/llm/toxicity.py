@@ -95,13 +95,13 @@ def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, width: int, prior: fl
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic", held_out=None, max_positive: int = 4_000, max_unlabelled: int = 12_000,
-          max_features: int = 8_192, min_texts: int = 3, min_z: float = 4.0) -> Model:
+          max_features: int = 8_192, min_share: float = 1 / 60, min_z: float = 4.0) -> Model:
     """Learns from at most ``max_positive`` confirmed toxic texts and ``max_unlabelled`` others.
 
     ``held_out`` is a condition on the id for rows that training must not see. Both samples are the rows with the
     smallest hash of the id. The class prior is the share of toxic ones among all labelled training rows. Of the
-    features, those enter whose share among positives is above that in the unlabelled by at least ``min_z``
-    standard errors, ``max_features`` at most. Labels other than 0 and 1, null labels and null ids are ignored.
+    features, those enter that ``min_share`` of the positives (and three of them) have, and whose share there is
+    above that in the unlabelled by at least ``min_z`` standard errors, ``max_features`` at most. Labels other than 0 and 1, null labels and null ids are ignored.
     Without a positive text the model is the prior alone.
     """
     ids = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("body"))
@@ -113,12 +113,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     prior = min(0.5, max(0.001, ((toxic or 0) + 0.5) / ((n or 0) + 1)))
     by_hash = [F.xxhash64("id"), F.col("id")]
     chosen = marks.where("mark = 1").orderBy(*by_hash).limit(max_positive).select("id", F.lit(True).alias("positive"))
-    sure = marks.where("mark = 1").select("id")
-    other = ids.where("id IS NOT NULL").select("id").join(sure, "id", "left_anti").distinct().orderBy(
-        *by_hash).limit(max_unlabelled)
-    # The unlabelled sample must hold its share of toxic text, as the estimator expects.
-    mixed = marks.where("mark = 1").orderBy(F.xxhash64("id", F.lit(1)), "id").limit(
-        round(max_unlabelled * prior)).select("id").union(other).select("id", F.lit(False).alias("positive"))
+    # The unlabelled sample holds its natural share of toxic text, as the estimator expects.
+    mixed = ids.where("id IS NOT NULL").select("id").orderBy(F.xxhash64("id", F.lit(1)), "id").limit(
+        max_unlabelled).distinct().select("id", F.lit(False).alias("positive"))
     sample = F.broadcast(written(chosen.union(mixed), "training-ids"))
 
     def features(batches):
@@ -138,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         F.sum(F.col("positive").cast("int")).alias("p"), F.sum((~F.col("positive")).cast("int")).alias("u"))
     share = (F.col("p") + F.col("u")) / (n_p + n_u)
     z = (F.col("p") / n_p - F.col("u") / n_u) / F.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u) + 1e-12)
-    best = seen.where(F.col("p") >= min_texts).withColumn("z", z).where(F.col("z") >= min_z).orderBy(
+    best = seen.where(F.col("p") >= max(3, n_p * min_share)).withColumn("z", z).where(F.col("z") >= min_z).orderBy(
         F.desc("z"), "f").limit(max_features).select("f")
     numbers = np.array(sorted(r["f"] for r in best.collect()), np.int64)
     if not len(numbers):
