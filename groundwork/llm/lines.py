@@ -5,7 +5,8 @@ hash of each shingle falls into one of 24 bins, and a bin's smallest value is on
 empty bins filled from the next). Lines whose values agree in all four bins of one of ten bands are candidates: a
 pair with Jaccard similarity 0.8 becomes one with a probability of about 0.99, one with 0.1 hardly ever. Every
 candidate is verified by exact Jaccard similarity over the shingles themselves, links go through a distributed
-union-find, and of each component one line stays, the first.
+union-find, and of each component one line stays, the first. Before that, bitmaps refuse pairs that cannot be
+similar: every bit that only one of two lines has set stands for at least one shingle that only it has.
 
 Equal lines are one row before all this. No bucket puts out all of its pairs: its members are first compared with
 its smallest one, and after a union-find only those are compared that are still in different components. That finds
@@ -27,6 +28,8 @@ BINS = 24
 BANDS = [[c + 6 * r for r in range(4)] for c in range(6)] + [[(c + r) % 6 + 6 * r for r in range(4)] for c in range(4)]
 # Smallest values that a bin is expected to keep for a long line; the smallest is among them unless none is.
 KEPT = 5
+# 64-bit words of a line's bitmap of shingles.
+WORDS = 24
 
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -37,13 +40,30 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit(1), "line")})
 
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """(k1, k2, doc, n, b0..): of each different line the first document, the occurrences, and the bins' minima."""
-    coded = lines.select("k1", "k2", "doc", F.encode("line", "UTF-16BE").alias("code"))
+def shingle_rows(lines: DataFrame, *columns: str) -> DataFrame:
+    """A row (columns, last, i, h) for every shingle: its number, that of the last one, its hash."""
+    coded = lines.select(*columns, F.encode("line", "UTF-16BE").alias("code"))
     coded = coded.withColumn("last", F.greatest(F.expr("length(code) div 2").cast("int") - SHINGLE, F.lit(0)))
-    each = coded.select("k1", "k2", "doc", "last", "code", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
+    each = coded.select("*", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
     hashed = F.xxhash64(F.expr(f"substring(code, 2 * i + 1, {2 * SHINGLE})"))
-    each = each.select("k1", "k2", "doc", "last", "i", hashed.alias("h")).select(
+    return each.select(*columns, "last", "i", hashed.alias("h"))
+
+
+def bitmaps(texts: DataFrame) -> DataFrame:
+    """(k1, size, bits): how many shingles a line has room for, and a bit for each of them."""
+    each = shingle_rows(texts, "k1", "k2").select(
+        "k1", "k2", "last", F.pmod("h", F.lit(WORDS)).cast("int").alias("word"),
+        F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("h", 58).cast("int")).alias("bit"))
+    words = each.groupBy("k1", "k2").agg(
+        F.max("last").alias("last"),
+        *[F.bit_or(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{w}")
+          for w in range(WORDS)])
+    return words.select("k1", (F.col("last") + 1).alias("size"), F.array(*[f"w{w}" for w in range(WORDS)]).alias("bits"))
+
+
+def signatures(lines: DataFrame) -> DataFrame:
+    """(k1, k2, doc, n, b0..): of each different line the first document, the occurrences, and the bins' minima."""
+    each = shingle_rows(lines, "k1", "k2", "doc").select(
         "k1", "k2", "doc", (F.col("i") == 0).alias("head"), "last",
         F.pmod("h", F.lit(BINS)).cast("int").alias("bin"), F.shiftrightunsigned("h", 32).alias("value"))
     few = F.col("value") * (F.col("last") + 1) <= F.lit(KEPT * BINS << 32)
@@ -59,18 +79,23 @@ def band_keys() -> Column:
 
 def _shingles(line: Column) -> Column:
     runs = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
-    return F.array_distinct(F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(runs))
+    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(runs)
 
 
-def similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+def similar(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     """(a, b) of the pairs (k1 of one line, k1 of another) whose lines have at least that Jaccard similarity."""
+    one = sketches.select(F.col("k1").alias("x"), F.col("size").alias("size_x"), F.col("bits").alias("bits_x"))
+    two = sketches.select(F.col("k1").alias("y"), F.col("size").alias("size_y"), F.col("bits").alias("bits_y"))
+    # With S shingles in all and d in one line only, the similarity is (S - d) / (S + d).
+    apart = sum((F.bit_count(F.col("bits_x")[w].bitwiseXOR(F.col("bits_y")[w])) for w in range(WORDS)), F.lit(0))
+    room = (F.col("size_x") + F.col("size_y")) * ((1 - least) / (1 + least)) + 1e-9
+    pairs = pairs.join(one, "x").join(two, "y").where(apart <= room).select("x", "y").distinct()
     one = texts.select(F.col("k1").alias("x"), F.struct("k1", "k2").alias("a"), F.col("line").alias("line_a"))
     two = texts.select(F.col("k1").alias("y"), F.struct("k1", "k2").alias("b"), F.col("line").alias("line_b"))
-    both = pairs.join(one, "x").join(two, "y")
-    sets = both.select("a", "b", _shingles(F.col("line_a")).alias("s"), _shingles(F.col("line_b")).alias("t"))
-    common = F.size(F.array_intersect("s", "t"))
-    sets = sets.select("a", "b", common.alias("c"), (F.size("s") + F.size("t")).alias("total"))
-    return sets.where(F.col("c") >= F.lit(least) * (F.col("total") - F.col("c"))).select("a", "b")
+    sets = pairs.join(one, "x").join(two, "y").select(
+        "a", "b", _shingles(F.col("line_a")).alias("s"), _shingles(F.col("line_b")).alias("t"))
+    both, all_of = F.size(F.array_intersect("s", "t")), F.size(F.array_union("s", "t"))
+    return sets.where(both >= F.lit(least) * all_of).select("a", "b")
 
 
 def line_components(lines: DataFrame, least: float = 0.8) -> DataFrame:
@@ -86,8 +111,9 @@ def line_components(lines: DataFrame, least: float = 0.8) -> DataFrame:
     near = may_hold(lines.select("k1", "k2", "line"), bloom, "k1").where("bloom_hit").groupBy("k1", "k2", "line").agg(
         F.count("*").alias("n"))
     texts = written(near.join(wanted, "k1", "left_semi").select("k1", "k2", "line"), "candidate-lines")
+    sketches = written(bitmaps(texts), "line-bitmaps")
     first = members.where("k1 <> low").select(F.col("low").alias("x"), F.col("k1").alias("y")).distinct()
-    links = written(similar(first, texts, least), "line-links")
+    links = written(similar(first, texts, sketches, least), "line-links")
     roots = written(components(links, "line-components"), "line-roots")
     # What is still apart within a bucket is compared in full.
     label = roots.select(F.col("node.k1").alias("k1"), F.col("root.k1").alias("label"))
@@ -101,7 +127,7 @@ def line_components(lines: DataFrame, least: float = 0.8) -> DataFrame:
     right = apart.select("band", F.col("k1").alias("y"), F.col("label").alias("ly"))
     again = left.join(right, "band").where("x < y AND lx <> ly").select("x", "y").distinct().join(
         first, ["x", "y"], "left_anti")
-    more = written(similar(again, texts, least), "line-links")
+    more = written(similar(again, texts, sketches, least), "line-links")
     roots = written(components(links.unionByName(more), "line-components"), "line-roots")
     joined = marks.select(F.struct("k1", "k2").alias("node"), "doc", "n").join(roots, "node", "left")
     joined = written(joined.where("n > 1 OR root IS NOT NULL").select(
