@@ -154,13 +154,17 @@ def find_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         markers = sorted({w for t in templates for w in marker_words(t)})
         worth = F.col("body").rlike("(?i)" + "|".join(re.escape(w) for w in markers))
 
+        def named(shingles: Column, keys: Column) -> Column:
+            hits = [F.when(F.arrays_overlap(keys, F.array(*[F.lit(k) for k in r["keys"]]))
+                           & (F.size(F.array_intersect(shingles, _strings(r["shingles"])))
+                              >= LEAST * len(r["shingles"]) - 1e-9), r["name"]) for r in known]
+            return F.filter(F.array(*hits), lambda name: name.isNotNull())
+
         def judged(words: Column) -> Column:
+            # Each array is bound, so that it is computed once and not for every element of the next.
             return bind(shingles_of(words), lambda shingles: bind(
-                _keys(F.transform(shingles, lambda s: F.xxhash64(s))), lambda keys: F.filter(F.array(*[
-                    F.when(F.arrays_overlap(keys, F.array(*[F.lit(k) for k in r["keys"]]))
-                           & (F.size(F.array_intersect(shingles, _strings(r["shingles"])))
-                              >= LEAST * len(r["shingles"]) - 1e-9), r["name"])
-                    for r in known]), lambda name: name.isNotNull())))
+                F.transform(shingles, lambda s: F.xxhash64(s)), lambda hashes: bind(
+                    _keys(hashes), lambda keys: named(shingles, keys))))
 
         found = F.when(worth, bind(words_of(F.col("body")), judged)).otherwise(none)
     return rows.select(F.col("id").alias(id_col), found.alias("names")).select(

@@ -142,7 +142,7 @@ def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col
     named = near_duplicates(marked.select("__doc", "__print", F.col(f"`{text_col}`").alias("__text")),
                             id_col="__doc", text_col="__text", shingle=shingle, distance=distance,
                             also=["__print"])
-    stay = written(named.groupBy("component_id").agg(F.min(F.struct("__doc", "__print")).alias("stays")), "one-of-each")
+    stay = written(named.groupBy("component_id").agg(F.min(F.struct(ident("__doc").alias("__doc"), "__print")).alias("stays")), "one-of-each")
     stay = stay.select(F.col("stays.__doc").alias("__stay_doc"), F.col("stays.__print").alias("__stay_print"))
     kept = marked.join(stay, (F.col("__doc") == F.col("__stay_doc")) & (F.col("__print") == F.col("__stay_print")))
     return kept.dropDuplicates(["__doc", "__print"]).select(*[F.col(f"`{c}`") for c in docs.columns])
