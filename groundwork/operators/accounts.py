@@ -208,7 +208,11 @@ def url_allowlist_audit(
 ) -> DataFrame:
     """Base URLs ``id, provider, url`` with the first reason to refuse them, or ``ALLOWED``."""
     url = trim(F.col("url"))
-    malformed = url.rlike(r'[\s<>"{}|\\^`]') | url.rlike(r"%(?![0-9A-Fa-f]{2})")
+    malformed = (
+        url.rlike(r'[\s<>"{}|\\^`]') | url.rlike(r"%(?![0-9A-Fa-f]{2})")
+        # Two slashes must be followed by an authority or a path.
+        | url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://($|[?#])")
+    )
 
     def part(pattern: str) -> Column:
         return F.regexp_extract(url, pattern, 1)
@@ -218,11 +222,15 @@ def url_allowlist_audit(
     server = F.regexp_replace(authority, r"^.*@", "")
     host = F.regexp_replace(F.regexp_replace(server, r":\d*$", ""), r"^\[(.*)\]$", "$1")
     host = F.regexp_replace(F.lower(host), r"\.+$", "")
+    # Only an authority of host name or address and a numeric port has a host.
+    label = "[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
+    served = server.rlike(
+        rf"^(?:(?:{label}\.)*[A-Za-z](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.?|\d+(?:\.\d+){{3}}|\[[0-9A-Fa-f:.%]+\])(?::\d*)?$")
+    host = F.when(served, host).otherwise("")
     plain_http = (scheme == "http") & F.col("provider").isin(*http_providers)
-    pairs = ", ".join(
-        f"named_struct('provider', '{p}', 'host', '{h}')" for p, hosts in allowed.items() for h in hosts
-    )
-    listed = F.expr(f"array({pairs})")
+    listed = F.array(*[
+        F.struct(F.lit(p).alias("provider"), F.lit(h).alias("host")) for p, hosts in allowed.items() for h in hosts
+    ])
     verdict = (
         F.when(is_blank(F.col("url")), "DEFAULT")
         .when(F.length(url) > max_length, "TOO_LONG")

@@ -2,34 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundwork.session import is_small, ship
 
 
+def _runs(words: Column, length: int) -> Column:
+    """Keys of all runs of so many words; of no word there is one."""
+    last = F.greatest(F.size(words) - (length - 1), F.lit(1)) if length else F.lit(1)
+    return F.transform(F.sequence(F.lit(1), last), lambda at: F.concat_ws(
+        ":", F.lit(str(length)), F.array_join(F.slice(words, at, F.lit(length)), " ")))
+
+
 def passages_in(passages: DataFrame, docs: DataFrame, run: int = 8) -> DataFrame:
     """``query_id, chunk_id``: the documents that contain a passage word for word.
 
     The first ``run`` words of each passage meet the word runs of the documents in an equi-join;
     only documents that share them are searched for the whole passage. The first word may start
-    inside a document's word and the last one end inside, so both are left out of the key.
+    inside a document's word and the last one end inside, so both are left out of the key. Shorter
+    passages have shorter keys; those of one or two words have an empty one, which every document has.
     """
-    inner = F.slice(F.split("text", r"\s"), 2, run - 2)
-    keyed = passages.select(
+    split = F.split("text", r"\s")
+    length = F.greatest(F.least(F.size(split) - 2, F.lit(run - 2)), F.lit(0))
+    keyed = passages.where("text IS NOT NULL").select(
         F.col("item_id").alias("query_id"),
         F.col("text").alias("_passage"),
-        F.array_join(inner, " ").alias("_run"),
+        length.alias("_length"),
+        F.concat_ws(":", length.cast("string"), F.array_join(F.slice(split, F.lit(2), length), " ")).alias("_run"),
     )
+    # At most run - 1 lengths.
+    lengths = sorted(r["_length"] for r in keyed.select("_length").distinct().collect())
+    keyed = keyed.drop("_length")
     keys = keyed.select("_run").distinct()
     small = is_small(passages)
     words = F.split("text", r"\s")
     runs = F.transform(
         F.array(words),
-        lambda w: F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(w) - (run - 3), F.lit(1))),
-            lambda at: F.array_join(F.slice(w, at, F.lit(run - 2)), " "),
-        ),
+        lambda w: F.concat(F.array().cast("array<string>"), *[_runs(w, n) for n in lengths]),
     )[0]
     cut = docs.select(F.col("doc_id").alias("chunk_id"), F.explode(F.array_distinct(runs)).alias("_run"))
     found = cut.join(ship(keys, small), "_run", "left_semi").join(ship(keyed, small), "_run")

@@ -110,12 +110,13 @@ def ingestion_status(verdict: DataFrame, chunks: DataFrame, message_limit: int =
 
 
 def recover_interrupted(docs: DataFrame) -> DataFrame:
-    """What was still processing when the application stopped has failed."""
+    """What was still processing when the application stopped has failed. Other messages stay."""
     stuck = F.col("status") == "PROCESSING"
+    message = F.col("error_message") if "error_message" in docs.columns else F.lit(None).cast("string")
     return docs.select(
         *[c for c in docs.columns if c not in ("status", "error_message")],
         F.when(stuck, "FAILED").otherwise(F.col("status")).alias("status"),
-        F.when(stuck, lex.INTERRUPTED_MESSAGE).alias("error_message"),
+        F.when(stuck, lex.INTERRUPTED_MESSAGE).otherwise(message).alias("error_message"),
         stuck.alias("recovered"),
     )
 

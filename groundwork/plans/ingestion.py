@@ -304,11 +304,14 @@ def ingestion_status(i: Inputs) -> DataFrame:
 @query(
     "recover_interrupted",
     f"""SELECT document_id, CASE WHEN status = 'PROCESSING' THEN 'FAILED' ELSE status END AS status,
-               CASE WHEN status = 'PROCESSING' THEN '{lex.INTERRUPTED_MESSAGE}' END AS error_message,
+               CASE WHEN status = 'PROCESSING' THEN '{lex.INTERRUPTED_MESSAGE}'
+                    WHEN status = 'FAILED' THEN 'pages of ' || title END AS error_message,
                status = 'PROCESSING' AS recovered FROM doc_catalog""",
 )
 def recover_interrupted(i: Inputs) -> DataFrame:
-    return ingest.recover_interrupted(i.doc_catalog.select("document_id", "status"))
+    message = F.when(F.col("status") == "FAILED", F.concat(F.lit("pages of "), "title"))
+    return ingest.recover_interrupted(
+        i.doc_catalog.select("document_id", "status", message.alias("error_message")))
 
 
 @query(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,13 +29,11 @@ def build_session(name: str = "groundwork", cpus: str = "*", memory: str = "8g")
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder path under the shared folder that ``spark.checkpoint.dir`` names."""
+    """A fresh folder path under the shared folder that ``spark.checkpoint.dir`` names, else under the warehouse."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="groundwork-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        # The warehouse is the other folder that all executors reach.
+        shared = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_scratch")
     return os.path.join(shared, f"{purpose}-{uuid.uuid4().hex}")
 
 

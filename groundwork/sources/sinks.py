@@ -6,6 +6,7 @@ joining the chunks of some documents touches their folders only.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,18 +56,19 @@ def write_chunks(chunks: DataFrame, path: str, buckets: int = BUCKETS, mode: str
 def append_new_chunks(
     spark: SparkSession, chunks: DataFrame, path: str, buckets: int = BUCKETS
 ) -> None:
-    """Append what the table does not hold yet, so that writing twice equals writing once."""
-    from groundwork.operators.ingest import new_chunks_only
-
-    new = chunks
-    if _exists(spark, path):
-        new = new_chunks_only(chunks, read_chunks(spark, path))
-    write_chunks(new, path, buckets)
+    """Append what the table does not hold yet, so that writing twice equals writing once.
 
+    A table that does not exist is an empty one.
+    """
+    from groundwork.operators.ingest import new_chunks_only
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    try:
+        stored = read_chunks(spark, path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored = spark.createDataFrame([], CHUNK_SCHEMA)
+    write_chunks(new_chunks_only(chunks, stored), path, buckets)
 
 
 def replace_document_chunks(stored: DataFrame, redone: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -76,8 +78,12 @@ def replace_document_chunks(stored: DataFrame, redone: DataFrame, fresh: DataFra
 
 
 def update_embeddings(stored: DataFrame, vectors: DataFrame) -> DataFrame:
-    """The table with the vectors of ``vectors(chunk_id, embedding)`` set."""
-    new = vectors.select("chunk_id", F.col("embedding").alias("_new"))
+    """The table with the vectors of ``vectors(chunk_id, embedding)`` set.
+
+    Of several vectors for one id the last by ``written_at`` counts, without that column the largest.
+    """
+    last = F.max_by("embedding", "written_at") if "written_at" in vectors.columns else F.max("embedding")
+    new = vectors.groupBy("chunk_id").agg(last.alias("_new"))
     merged = stored.join(new, "chunk_id", "left")
     return merged.withColumn("embedding", F.coalesce("_new", "embedding")).select(*stored.columns)
 
