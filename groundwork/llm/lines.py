@@ -9,8 +9,9 @@ union-find, and of each component one line stays, the first. Before that, bitmap
 similar: every bit that only one of two lines has set stands for at least one shingle that only it has.
 
 Equal lines are one row before all this. No bucket puts out all of its pairs: its members are first compared with
-its smallest one, and after a union-find only those are compared that are still in different components. That finds
-the same components as comparing all.
+one of them, after a union-find those in other components with another one, and only what is then still apart is
+compared in full, tile by tile: two tiles of a bucket are one row, in which the bitmaps are compared, and only the
+pairs they cannot refuse leave it. That finds the same components as comparing all.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ BANDS = [[c + 6 * r for r in range(4)] for c in range(6)] + [[(c + r) % 6 + 6 *
 KEPT = 5
 # 64-bit words of a line's bitmap of shingles.
 WORDS = 24
+# Lines of a bucket in one tile, as dealt by hash.
+TILE = 48
 
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -82,14 +85,22 @@ def _shingles(line: Column) -> Column:
     return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(runs)
 
 
-def similar(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """(a, b) of the pairs (k1 of one line, k1 of another) whose lines have at least that Jaccard similarity."""
+def _room(size_x: Column, size_y: Column, least: float) -> Column:
+    """With S shingles in all and d in one line only, the similarity is (S - d) / (S + d): the largest d allowed."""
+    return (size_x + size_y) * ((1 - least) / (1 + least)) + 1e-9
+
+
+def possible(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """The pairs (x, y) of k1 whose bitmaps do not rule that similarity out."""
     one = sketches.select(F.col("k1").alias("x"), F.col("size").alias("size_x"), F.col("bits").alias("bits_x"))
     two = sketches.select(F.col("k1").alias("y"), F.col("size").alias("size_y"), F.col("bits").alias("bits_y"))
-    # With S shingles in all and d in one line only, the similarity is (S - d) / (S + d).
     apart = sum((F.bit_count(F.col("bits_x")[w].bitwiseXOR(F.col("bits_y")[w])) for w in range(WORDS)), F.lit(0))
-    room = (F.col("size_x") + F.col("size_y")) * ((1 - least) / (1 + least)) + 1e-9
-    pairs = pairs.join(one, "x").join(two, "y").where(apart <= room).select("x", "y").distinct()
+    room = _room(F.col("size_x"), F.col("size_y"), least)
+    return pairs.join(one, "x").join(two, "y").where(apart <= room).select("x", "y").distinct()
+
+
+def similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(a, b) of the pairs (k1 of one line, k1 of another) whose lines have at least that Jaccard similarity."""
     one = texts.select(F.col("k1").alias("x"), F.struct("k1", "k2").alias("a"), F.col("line").alias("line_a"))
     two = texts.select(F.col("k1").alias("y"), F.struct("k1", "k2").alias("b"), F.col("line").alias("line_b"))
     sets = pairs.join(one, "x").join(two, "y").select(
@@ -98,6 +109,40 @@ def similar(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, least: floa
     return sets.where(both >= F.lit(least) * all_of).select("a", "b")
 
 
+def labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(band, k1, label, size) of the buckets whose members are in several components."""
+    label = roots.select(F.col("node.k1").alias("k1"), F.col("root.k1").alias("label"))
+    named = written(members.join(label, "k1", "left").select(
+        "band", "k1", F.coalesce("label", "k1").alias("label")), "line-labels")
+    mixed = written(named.groupBy("band").agg(F.min("label").alias("p"), F.max("label").alias("q"),
+                                              F.count("*").alias("size"))
+                    .where("p < q AND size > 2").select("band", "size"), "mixed-buckets")
+    return written(named.join(mixed, "band"), "lines-apart")
+
+
+def pairs_apart(apart: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """(x, y): the pairs of one bucket in different components whose bitmaps do not rule that similarity out."""
+    count = F.ceil(F.col("size") / TILE).cast("int")
+    dealt = apart.select("band", "k1", "label", count.alias("tiles")).join(
+        sketches.withColumnRenamed("size", "room"), "k1")
+    tiles = written(dealt.withColumn("tile", F.pmod(F.xxhash64("k1"), F.col("tiles")).cast("int")).groupBy(
+        "band", "tiles", "tile").agg(F.collect_list(F.struct("k1", "label", "room", "bits")).alias("rows")), "line-tiles")
+    left = tiles.select("band", F.col("tile").alias("own"), F.col("rows").alias("left"),
+                        F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("tile"))
+    met = left.join(tiles.select("band", "tile", F.col("rows").alias("right")), ["band", "tile"])
+
+    def meets(x: Column, y: Column) -> Column:
+        apart = F.aggregate(F.zip_with(x["bits"], y["bits"], lambda a, b: F.bit_count(a.bitwiseXOR(b))),
+                            F.lit(0), lambda a, n: a + n)
+        once = (F.col("own") < F.col("tile")) | (x["k1"] < y["k1"])
+        return (x["label"] != y["label"]) & once & (apart <= _room(x["room"], y["room"], least))
+
+    found = F.flatten(F.transform("left", lambda x: F.transform(
+        F.filter("right", lambda y: meets(x, y)), lambda y: F.struct(
+            F.least(x["k1"], y["k1"]).alias("x"), F.greatest(x["k1"], y["k1"]).alias("y")))))
+    return met.select(F.explode(found).alias("pair")).select("pair.x", "pair.y").distinct()
+
+
 def line_components(lines: DataFrame, least: float = 0.8) -> DataFrame:
     """(k1, k2, root, doc, n): the lines that have a copy or a near copy, their component, its first document."""
     marks = written(signatures(lines).select("k1", "k2", "doc", "n", band_keys().alias("bands")), "line-signatures")
@@ -113,22 +158,19 @@ def line_components(lines: DataFrame, least: float = 0.8) -> DataFrame:
     texts = written(near.join(wanted, "k1", "left_semi").select("k1", "k2", "line"), "candidate-lines")
     sketches = written(bitmaps(texts), "line-bitmaps")
     first = members.where("k1 <> low").select(F.col("low").alias("x"), F.col("k1").alias("y")).distinct()
-    links = written(similar(first, texts, sketches, least), "line-links")
+    links = written(similar(possible(first, sketches, least), texts, least), "line-links")
     roots = written(components(links, "line-components"), "line-roots")
-    # What is still apart within a bucket is compared in full.
-    label = roots.select(F.col("node.k1").alias("k1"), F.col("root.k1").alias("label"))
-    named = written(members.join(label, "k1", "left").select(
-        "band", "k1", F.coalesce("label", "k1").alias("label")), "line-labels")
-    mixed = written(named.groupBy("band").agg(F.min("label").alias("p"), F.max("label").alias("q"),
-                                              F.count("*").alias("size"))
-                    .where("p < q AND size > 2").select("band"), "mixed-buckets")
-    apart = named.join(mixed, "band")
-    left = apart.select("band", F.col("k1").alias("x"), F.col("label").alias("lx"))
-    right = apart.select("band", F.col("k1").alias("y"), F.col("label").alias("ly"))
-    again = left.join(right, "band").where("x < y AND lx <> ly").select("x", "y").distinct().join(
-        first, ["x", "y"], "left_anti")
-    more = written(similar(again, texts, sketches, least), "line-links")
-    roots = written(components(links.unionByName(more), "line-components"), "line-roots")
+    # Another member of each bucket meets those that are still in other components than it.
+    apart = labelled(members, roots)
+    chosen = written(apart.groupBy("band").agg(F.max(F.struct(F.xxhash64("k1").alias("h"), "k1", "label")).alias("c"))
+                     .select("band", F.col("c.k1").alias("x"), F.col("c.label").alias("lx")), "line-pivots")
+    second = apart.join(chosen, "band").where("label <> lx").select("x", F.col("k1").alias("y")).distinct()
+    more = written(similar(possible(second, sketches, least), texts, least), "line-links")
+    links = links.unionByName(more)
+    roots = written(components(links, "line-components"), "line-roots")
+    # What is then still apart within a bucket is compared in full.
+    rest = written(similar(pairs_apart(labelled(members, roots), sketches, least), texts, least), "line-links")
+    roots = written(components(links.unionByName(rest), "line-components"), "line-roots")
     joined = marks.select(F.struct("k1", "k2").alias("node"), "doc", "n").join(roots, "node", "left")
     joined = written(joined.where("n > 1 OR root IS NOT NULL").select(
         "node", F.coalesce("root", "node").alias("root"), "doc"), "repeated-lines")
