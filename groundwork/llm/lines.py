@@ -1,38 +1,51 @@
-"""Fuzzy line dedup by MinHash, in DataFrame operations throughout.
+"""Fuzzy line dedup by MinHash: signatures, banding, exact Jaccard similarity, distributed union-find.
 
-A line's shingles are all runs of ten characters of it (UTF-16 units; a shorter line is one shingle). One 64-bit
-hash of each shingle falls into one of 24 bins, and a bin's smallest value is one MinHash (one-permutation hashing,
-empty bins filled from the next). Lines whose values agree in all four bins of one of ten bands are candidates: a
-pair with Jaccard similarity 0.8 becomes one with a probability of about 0.99, one with 0.1 hardly ever. Every
-candidate is verified by exact Jaccard similarity over the shingles themselves, links go through a distributed
-union-find, and of each component one line stays, the first. Before that, bitmaps refuse pairs that cannot be
-similar: every bit that only one of two lines has set stands for at least one shingle that only it has.
+A line's shingles are all runs of ten characters of it (a shorter line is one shingle). One 64-bit hash of each
+shingle falls into one of 24 bins, and a bin's smallest value is one MinHash (one-permutation hashing, empty bins
+filled from the next). Lines whose values agree in all four bins of one of ten bands are candidates: a pair with
+Jaccard similarity 0.8 becomes one with a probability of about 0.99, one with 0.1 hardly ever. Every candidate is
+verified by exact Jaccard similarity over the shingles themselves, links go through a distributed union-find, and of
+each component one line stays, the first. Before that, bitmaps refuse pairs that cannot be similar: every bit that
+only one of two lines has set stands for at least one shingle that only it has.
 
 Equal lines are one row before all this. No bucket puts out all of its pairs: its members are first compared with
 one of them, after a union-find those in other components with another one, and only what is then still apart is
-compared in full, tile by tile: two tiles of a bucket are one row, in which the bitmaps are compared, and only the
-pairs they cannot refuse leave it. That finds the same components as comparing all.
+compared in full, tile by tile. Members of one large component have tiles of their own, which do not meet each
+other; two tiles put out no more links than connect them.
+
+Spark partitions, shuffles and joins; hashing and comparing shingles is array and set work over Arrow batches.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundwork.llm.bloom import bloom_filter, may_hold
-from groundwork.llm.common import ident, real_id, written
+from groundwork.llm.common import as_bytes, ident, mix, real_id, written
 from groundwork.llm.components import components
 
 SHINGLE = 10
 BINS = 24
 # Bins of each band: the columns of a grid of four rows of six, and four of its diagonals.
 BANDS = [[c + 6 * r for r in range(4)] for c in range(6)] + [[(c + r) % 6 + 6 * r for r in range(4)] for c in range(4)]
-# Smallest values that a bin is expected to keep for a long line; the smallest is among them unless none is.
-KEPT = 5
+BAND_COLUMNS = [f"band{j}" for j in range(len(BANDS))]
 # 64-bit words of a line's bitmap of shingles.
 WORDS = 24
-# Lines of a bucket in one tile, as dealt by hash.
-TILE = 48
+# Lines and characters of a bucket in one tile, as dealt by hash.
+TILE = 512
+TILE_CHARS = 1 << 21
+# Shingles that are hashed, and bitmaps that are filled, at a time.
+PART = 1 << 19
+ROWS = 1 << 11
+
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_NONE = np.uint64(1 << 32)
+KEY = pa.struct([("k1", pa.int64()), ("k2", pa.int64())])
 
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -43,46 +56,101 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit(1), "line")})
 
 
-def shingle_rows(lines: DataFrame, *columns: str) -> DataFrame:
-    """A row (columns, last, i, h) for every shingle: its number, that of the last one, its hash."""
-    coded = lines.select(*columns, F.encode("line", "UTF-16BE").alias("code"))
-    coded = coded.withColumn("last", F.greatest(F.expr("length(code) div 2").cast("int") - SHINGLE, F.lit(0)))
-    each = coded.select("*", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
-    hashed = F.xxhash64(F.expr(f"substring(code, 2 * i + 1, {2 * SHINGLE})"))
-    return each.select(*columns, "last", "i", hashed.alias("h"))
+def as_texts(column) -> list[str]:
+    return [t.decode("utf-8", "replace") for t in as_bytes(column)]
+
+
+def shingle_count(line: str) -> int:
+    return max(len(line) - SHINGLE + 1, 1)
+
+
+def shingle_hashes(lines: list[str]):
+    """Yields (numbers of lines, hashes), one element per shingle, some ``PART`` shingles at a time."""
+    # A line too short for a shingle is padded to one.
+    codes = np.frombuffer("".join([t.ljust(SHINGLE, "\0") for t in lines]).encode("utf-32-le", "replace"), np.uint32)
+    counts = np.array([shingle_count(t) for t in lines], np.int64)
+    ends = np.cumsum(counts + SHINGLE - 1)
+    for k in range(0, len(codes), PART):
+        part = codes[k : k + PART + SHINGLE - 1].astype(np.uint64)
+        two = part[:-1] * _FACTOR + part[1:]
+        four = two[:-2] * _FACTOR**2 + two[2:]
+        eight = four[:-4] * _FACTOR**4 + four[4:]
+        # The last two characters stand after the first eight.
+        hashed = eight[:-2] * _FACTOR**2 + two[8:]
+        place = np.arange(k, k + len(hashed))
+        of = np.searchsorted(ends, place, side="right")
+        real = place + SHINGLE <= ends[of]
+        yield of[real], mix(hashed[real])
+
+
+def band_keys(lines: list[str]) -> np.ndarray:
+    """One row per line, one key per band."""
+    least = np.full(len(lines) * BINS, _NONE)
+    for of, hashed in shingle_hashes(lines):
+        np.minimum.at(least, of * BINS + (hashed % np.uint64(BINS)).astype(np.int64), hashed >> np.uint64(32))
+    least = least.reshape(-1, BINS)
+    for _ in range(BINS - 1):
+        if not (least == _NONE).any():
+            break
+        least = np.where(least == _NONE, np.roll(least, -1, axis=1), least)
+    keys = np.empty((len(lines), len(BANDS)), np.uint64)
+    for j, band in enumerate(BANDS):
+        total = np.full(len(lines), j, np.uint64)
+        for b in band:
+            total = mix(total * _FACTOR + least[:, b])
+        keys[:, j] = total
+    return keys.view(np.int64)
+
+
+def _signed(batches):
+    for batch in batches:
+        keys = band_keys(as_texts(batch.column("line")))
+        yield pa.record_batch({"k1": batch.column("k1"), "k2": batch.column("k2"), "doc": batch.column("doc"),
+                               **{c: pa.array(np.ascontiguousarray(keys[:, j])) for j, c in enumerate(BAND_COLUMNS)}})
 
 
-def bitmaps(texts: DataFrame) -> DataFrame:
-    """(k1, size, bits): how many shingles a line has room for, and a bit for each of them."""
-    each = shingle_rows(texts, "k1", "k2").select(
-        "k1", "k2", "last", F.pmod("h", F.lit(WORDS)).cast("int").alias("word"),
-        F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("h", 58).cast("int")).alias("bit"))
-    words = each.groupBy("k1", "k2").agg(
-        F.max("last").alias("last"),
-        *[F.bit_or(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{w}")
-          for w in range(WORDS)])
-    return words.select("k1", (F.col("last") + 1).alias("size"), F.array(*[f"w{w}" for w in range(WORDS)]).alias("bits"))
+def signatures(lines: DataFrame) -> DataFrame:
+    """(k1, k2, doc, n, band0..): of each different line the first document, the occurrences, and the band keys."""
+    kinds = ", ".join(f"{c} bigint" for c in ["k1", "k2", "doc", *BAND_COLUMNS])
+    each = lines.select("k1", "k2", "doc", "line").mapInArrow(_signed, kinds)
+    return each.groupBy("k1", "k2").agg(F.min("doc").alias("doc"), F.count("*").alias("n"),
+                                        *[F.min(c).alias(c) for c in BAND_COLUMNS])
 
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """(k1, k2, doc, n, b0..): of each different line the first document, the occurrences, and the bins' minima."""
-    each = shingle_rows(lines, "k1", "k2", "doc").select(
-        "k1", "k2", "doc", (F.col("i") == 0).alias("head"), "last",
-        F.pmod("h", F.lit(BINS)).cast("int").alias("bin"), F.shiftrightunsigned("h", 32).alias("value"))
-    few = F.col("value") * (F.col("last") + 1) <= F.lit(KEPT * BINS << 32)
-    return each.where(few | F.col("head")).groupBy("k1", "k2").agg(
-        F.min("doc").alias("doc"), F.sum(F.col("head").cast("int")).alias("n"),
-        *[F.min(F.when(F.col("bin") == b, F.col("value"))).alias(f"b{b}") for b in range(BINS)])
+def bitmap_words(lines: list[str]) -> np.ndarray:
+    """One row per line, in which each shingle sets one of 64 * WORDS bits."""
+    marks = np.zeros((len(lines), 64 * WORDS), np.uint8)
+    for of, hashed in shingle_hashes(lines):
+        marks[of, (hashed % np.uint64(64 * WORDS)).astype(np.int64)] = 1
+    return np.packbits(marks, axis=1, bitorder="little").view(np.int64)
+
+
+def _mapped(batches):
+    for whole in batches:
+        for k in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(k, ROWS)
+            texts = as_texts(batch.column("line"))
+            words = bitmap_words(texts)
+            ends = np.arange(len(texts) + 1, dtype=np.int32) * WORDS
+            yield pa.record_batch({
+                "k1": batch.column("k1"), "k2": batch.column("k2"), "line": batch.column("line"),
+                "size": pa.array([shingle_count(t) for t in texts], pa.int32()),
+                "bits": pa.ListArray.from_arrays(pa.array(ends), pa.array(words.ravel()))})
 
 
-def band_keys() -> Column:
-    filled = [F.coalesce(*[F.col(f"b{(b + k) % BINS}") for k in range(BINS)]) for b in range(BINS)]
-    return F.array(*[F.xxhash64(F.lit(j), *[filled[b] for b in band]) for j, band in enumerate(BANDS)])
+def with_bitmaps(texts: DataFrame) -> DataFrame:
+    """(k1, k2, line, size, bits): how many shingles a line has room for, and a bit for each of them."""
+    return texts.select("k1", "k2", "line").mapInArrow(
+        _mapped, "k1 bigint, k2 bigint, line string, size int, bits array<bigint>")
 
 
-def _shingles(line: Column) -> Column:
-    runs = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
-    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(runs)
+def shingle_set(line: str) -> frozenset[str]:
+    return frozenset([line[k : k + SHINGLE] for k in range(shingle_count(line))])
+
+
+def _alike(one: frozenset[str], two: frozenset[str], least: float) -> bool:
+    both = len(one & two)
+    return both >= least * (len(one) + len(two) - both)
 
 
 def _room(size_x: Column, size_y: Column, least: float) -> Column:
@@ -90,10 +158,10 @@ def _room(size_x: Column, size_y: Column, least: float) -> Column:
     return (size_x + size_y) * ((1 - least) / (1 + least)) + 1e-9
 
 
-def possible(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+def possible(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (x, y) of k1 whose bitmaps do not rule that similarity out."""
-    one = sketches.select(F.col("k1").alias("x"), F.col("size").alias("size_x"), F.col("bits").alias("bits_x"))
-    two = sketches.select(F.col("k1").alias("y"), F.col("size").alias("size_y"), F.col("bits").alias("bits_y"))
+    one = texts.select(F.col("k1").alias("x"), F.col("size").alias("size_x"), F.col("bits").alias("bits_x"))
+    two = texts.select(F.col("k1").alias("y"), F.col("size").alias("size_y"), F.col("bits").alias("bits_y"))
     apart = sum((F.bit_count(F.col("bits_x")[w].bitwiseXOR(F.col("bits_y")[w])) for w in range(WORDS)), F.lit(0))
     room = _room(F.col("size_x"), F.col("size_y"), least)
     return pairs.join(one, "x").join(two, "y").where(apart <= room).select("x", "y").distinct()
@@ -103,10 +171,18 @@ def similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """(a, b) of the pairs (k1 of one line, k1 of another) whose lines have at least that Jaccard similarity."""
     one = texts.select(F.col("k1").alias("x"), F.struct("k1", "k2").alias("a"), F.col("line").alias("line_a"))
     two = texts.select(F.col("k1").alias("y"), F.struct("k1", "k2").alias("b"), F.col("line").alias("line_b"))
-    sets = pairs.join(one, "x").join(two, "y").select(
-        "a", "b", _shingles(F.col("line_a")).alias("s"), _shingles(F.col("line_b")).alias("t"))
-    both, all_of = F.size(F.array_intersect("s", "t")), F.size(F.array_union("s", "t"))
-    return sets.where(both >= F.lit(least) * all_of).select("a", "b")
+
+    def verified(batches):
+        # A line that many others are compared with comes again and again.
+        known = lru_cache(4)(shingle_set)
+        for batch in batches:
+            sides = zip(as_texts(batch.column("line_a")), as_texts(batch.column("line_b")), strict=True)
+            same = pa.array([_alike(known(x), shingle_set(y), least) for x, y in sides], pa.bool_())
+            yield batch.select(["a", "b"]).filter(same)
+
+    node = "struct<k1: bigint, k2: bigint>"
+    return pairs.join(one, "x").join(two, "y").select("a", "b", "line_a", "line_b").mapInArrow(
+        verified, f"a {node}, b {node}")
 
 
 def labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -120,56 +196,119 @@ def labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
     return written(named.join(mixed, "band"), "lines-apart")
 
 
-def pairs_apart(apart: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """(x, y): the pairs of one bucket in different components whose bitmaps do not rule that similarity out."""
-    count = F.ceil(F.col("size") / TILE).cast("int")
-    dealt = apart.select("band", "k1", "label", count.alias("tiles")).join(
-        sketches.withColumnRenamed("size", "room"), "k1")
-    tiles = written(dealt.withColumn("tile", F.pmod(F.xxhash64("k1"), F.col("tiles")).cast("int")).groupBy(
-        "band", "tiles", "tile").agg(F.collect_list(F.struct("k1", "label", "room", "bits")).alias("rows")), "line-tiles")
-    left = tiles.select("band", F.col("tile").alias("own"), F.col("rows").alias("left"),
-                        F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("tile"))
-    met = left.join(tiles.select("band", "tile", F.col("rows").alias("right")), ["band", "tile"])
+def _forest(one: dict, two: dict | None, least: float) -> list[tuple[int, int]]:
+    """Links of lines in different components, as positions in one tile or in two, one behind the other.
 
-    def meets(x: Column, y: Column) -> Column:
-        apart = F.aggregate(F.zip_with(x["bits"], y["bits"], lambda a, b: F.bit_count(a.bitwiseXOR(b))),
-                            F.lit(0), lambda a, n: a + n)
-        once = (F.col("own") < F.col("tile")) | (x["k1"] < y["k1"])
-        return (x["label"] != y["label"]) & once & (apart <= _room(x["room"], y["room"], least))
-
-    found = F.flatten(F.transform("left", lambda x: F.transform(
-        F.filter("right", lambda y: meets(x, y)), lambda y: F.struct(
-            F.least(x["k1"], y["k1"]).alias("x"), F.greatest(x["k1"], y["k1"]).alias("y")))))
-    return met.select(F.explode(found).alias("pair")).select("pair.x", "pair.y").distinct()
+    Enough of them to connect all lines that are similar; components that lines had before count as connected.
+    """
+    columns = {c: (one[c] + two[c] if two else one[c]) for c in one}
+    bits = np.array(columns["bits"], np.int64).reshape(-1, WORDS).view(np.uint64)
+    size = np.array(columns["size"], np.float64)
+    _, label = np.unique(np.array(columns["label"], np.int64), return_inverse=True)
+    cut = len(one["line"]) if two else 0
+    rows, others = np.arange(cut or len(size)), np.arange(cut, len(size))
+    apart = np.zeros((len(rows), len(others)), np.uint16)
+    for w in range(WORDS):
+        apart += np.bitwise_count(bits[rows, w][:, None] ^ bits[others, w][None, :])
+    maybe = apart <= (size[rows][:, None] + size[others][None, :]) * ((1 - least) / (1 + least)) + 1e-9
+    maybe &= label[rows][:, None] != label[others][None, :]
+    if not two:
+        maybe = np.triu(maybe)
+    root = np.arange(label.max() + 1)
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    known, found = lru_cache(TILE)(lambda k: shingle_set(columns["line"][k])), []
+    for i in np.flatnonzero(maybe.any(axis=1)).tolist():
+        for j in np.flatnonzero(maybe[i]).tolist():
+            x, y = find(label[i]), find(label[j + cut])
+            if x != y and _alike(known(i), known(j + cut), least):
+                root[max(x, y)] = min(x, y)
+                found.append((i, j + cut))
+    return found
+
+
+def links_apart(apart: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(a, b): links between lines of one bucket in different components, enough to connect all that are similar.
+
+    A component that fills a tile has tiles of its own, which never meet one another; other lines share tiles.
+    """
+    sized = apart.select("band", "k1", "label").join(
+        texts.select("k1", "k2", "line", F.col("size").alias("room"), "bits"), "k1")
+    sized = written(sized.withColumn("weight", F.greatest(
+        F.lit(1 / TILE), F.length("line") / TILE_CHARS)), "lines-to-tile")
+    own = sized.groupBy("band", "label").agg(F.sum("weight").alias("filled"))
+    counted = written(own.select("band", "label", "filled", F.when(F.col("filled") >= 1, F.col("label")).alias("owner")),
+                      "components-of-buckets")
+    parts = written(counted.groupBy("band", "owner").agg(F.ceil(F.sum("filled")).cast("int").alias("tiles")), "tile-counts")
+    plan = written(counted.alias("c").join(parts.alias("p"), (F.col("c.band") == F.col("p.band"))
+                                           & F.col("c.owner").eqNullSafe(F.col("p.owner"))).select(
+        "c.band", "c.label", "c.owner", "p.tiles"), "tile-plan")
+    line = F.struct("k1", "k2", "label", F.col("room").alias("size"), "bits", "line")
+    tile = F.pmod(F.xxhash64("k1"), F.col("tiles")).cast("int")
+    tiles = written(sized.join(plan, ["band", "label"]).groupBy("band", "owner", tile.alias("tile")).agg(
+        F.collect_list(line).alias("rows")), "line-tiles")
+    names = written(tiles.select("band", "owner", "tile"), "tile-names")
+    order = F.struct(F.col("owner").isNotNull(), F.coalesce("owner", F.lit(0)), "tile")
+    left, right = [names.select("band", F.col("owner").alias(f"owner_{s}"), F.col("tile").alias(f"tile_{s}"),
+                                order.alias(f"order_{s}")) for s in "lr"]
+    met = left.join(right, "band").where("order_l <= order_r AND (owner_l IS NULL OR owner_r IS NULL OR owner_l <> owner_r)")
+    for s in "lr":
+        side = tiles.select(F.col("band").alias("b"), F.col("owner").alias("o"), F.col("tile").alias("t"), F.col("rows").alias(f"rows_{s}"))
+        same = (met.band == side.b) & met[f"owner_{s}"].eqNullSafe(side.o) & (met[f"tile_{s}"] == side.t)
+        met = met.join(side, same).drop("b", "o", "t")
+    pairs = met.select((F.col("order_l") == F.col("order_r")).alias("same"), "rows_l", "rows_r")
+
+    def linked(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                sides = []
+                for name in ("rows_l", "rows_r"):
+                    rows = batch.column(name)[k].values
+                    tile = {c: rows.field(c).to_pylist() for c in ("k1", "k2", "label", "size")}
+                    tile |= {"line": as_texts(rows.field("line")), "bits": rows.field("bits").flatten().to_numpy().tolist()}
+                    sides.append(tile)
+                one, two = sides[0], None if batch.column("same")[k].as_py() else sides[1]
+                keys = [{"k1": x, "k2": y} for tile in (sides if two else sides[:1])
+                        for x, y in zip(tile["k1"], tile["k2"], strict=True)]
+                found = _forest({c: one[c] for c in ("label", "size", "bits", "line")}, two, least)
+                yield pa.record_batch({"a": pa.array([keys[i] for i, _ in found], KEY),
+                                       "b": pa.array([keys[j] for _, j in found], KEY)})
+
+    node = "struct<k1: bigint, k2: bigint>"
+    return pairs.mapInArrow(linked, f"a {node}, b {node}")
 
 
 def line_components(lines: DataFrame, least: float = 0.8) -> DataFrame:
     """(k1, k2, root, doc, n): the lines that have a copy or a near copy, their component, its first document."""
-    marks = written(signatures(lines).select("k1", "k2", "doc", "n", band_keys().alias("bands")), "line-signatures")
-    bands = marks.select("k1", F.explode("bands").alias("band"))
-    buckets = written(bands.groupBy("band").agg(F.min("k1").alias("low"), F.max("k1").alias("high"))
-                      .where("low < high").select("band", "low"), "line-buckets")
+    marks = written(signatures(lines), "line-signatures")
+    bands = marks.select("k1", F.explode(F.array(*BAND_COLUMNS)).alias("band"))
+    buckets = written(bands.groupBy("band").agg(F.min("k1").alias("low"), F.count("*").alias("size"))
+                      .where("size > 1").select("band", "low"), "line-buckets")
     members = written(bands.join(buckets, "band"), "line-members")
     wanted = written(members.select("k1").distinct(), "line-candidates")
     # Only the lines that are candidates travel: a filter of fixed size keeps most others where they are.
     bloom = written(bloom_filter(wanted, "k1"), "line-bloom")
     near = may_hold(lines.select("k1", "k2", "line"), bloom, "k1").where("bloom_hit").groupBy("k1", "k2", "line").agg(
         F.count("*").alias("n"))
-    texts = written(near.join(wanted, "k1", "left_semi").select("k1", "k2", "line"), "candidate-lines")
-    sketches = written(bitmaps(texts), "line-bitmaps")
+    texts = written(with_bitmaps(near.join(wanted, "k1", "left_semi")), "candidate-lines")
     first = members.where("k1 <> low").select(F.col("low").alias("x"), F.col("k1").alias("y")).distinct()
-    links = written(similar(possible(first, sketches, least), texts, least), "line-links")
+    links = written(similar(possible(first, texts, least), texts, least), "line-links")
     roots = written(components(links, "line-components"), "line-roots")
     # Another member of each bucket meets those that are still in other components than it.
     apart = labelled(members, roots)
     chosen = written(apart.groupBy("band").agg(F.max(F.struct(F.xxhash64("k1").alias("h"), "k1", "label")).alias("c"))
                      .select("band", F.col("c.k1").alias("x"), F.col("c.label").alias("lx")), "line-pivots")
     second = apart.join(chosen, "band").where("label <> lx").select("x", F.col("k1").alias("y")).distinct()
-    more = written(similar(possible(second, sketches, least), texts, least), "line-links")
+    more = written(similar(possible(second, texts, least), texts, least), "line-links")
     links = links.unionByName(more)
     roots = written(components(links, "line-components"), "line-roots")
     # What is then still apart within a bucket is compared in full.
-    rest = written(similar(pairs_apart(labelled(members, roots), sketches, least), texts, least), "line-links")
+    rest = written(links_apart(labelled(members, roots), texts, least), "line-links")
     roots = written(components(links.unionByName(rest), "line-components"), "line-roots")
     joined = marks.select(F.struct("k1", "k2").alias("node"), "doc", "n").join(roots, "node", "left")
     joined = written(joined.where("n > 1 OR root IS NOT NULL").select(

@@ -256,6 +256,55 @@ def test_line_dedup_against_all_pairs(spark):
     assert got <= want and len(want - got) <= 0.01 * len(want)
 
 
+def test_line_tiles_link_all_that_is_similar(spark, monkeypatch):
+    # Lines of one bucket in two families and a bridge: more lines than a tile holds, one component that fills tiles.
+    monkeypatch.setattr(lines, "TILE", 4)
+    rng = np.random.default_rng(5)
+    letters = list("abcdefghijklmnopqrstuvwxyz ")
+
+    def altered(text, n):
+        chars = list(text)
+        for at in rng.integers(0, len(chars), n):
+            chars[at] = letters[rng.integers(27)]
+        return "".join(chars)
+
+    base = "".join(rng.choice(letters, 400))
+    far = altered(base, 14)
+    texts = list(dict.fromkeys([altered(base, 2) for _ in range(30)] + [altered(far, 3) for _ in range(20)]))
+    made = spark.createDataFrame([(k, -k, t) for k, t in enumerate(texts)], "k1 long, k2 long, line string")
+    rows = lines.with_bitmaps(made)
+    # Ten lines are one component already, the others are apart.
+    apart = made.select(F.lit(7).cast("long").alias("band"), "k1", F.lit(len(texts)).cast("long").alias("size"),
+                        F.when(F.col("k1") < 10, 0).otherwise(F.col("k1")).cast("long").alias("label"))
+    found = [(r.a.k1, r.b.k1) for r in lines.links_apart(apart, rows, 0.8).collect()]
+    sets, want = Sets(len(texts)), Sets(len(texts))
+    grams = [lines.shingle_set(t) for t in texts]
+
+    def alike(a, b):
+        return len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])
+
+    for k in range(10):
+        sets.join(0, k)
+        want.join(0, k)
+    for a, b in found:
+        assert alike(a, b)
+        sets.join(a, b)
+    for a in range(len(texts)):
+        for b in range(a):
+            if alike(a, b):
+                want.join(a, b)
+    assert all((sets.find(a) == sets.find(b)) == (want.find(a) == want.find(b))
+               for a in range(len(texts)) for b in range(a))
+
+
+def test_long_lines_are_hashed_in_parts(monkeypatch):
+    made = ["ab", "", "the quick brown fox jumps over the lazy dog " * 9, "é" * 300, "0123456789"]
+    keys, bits = lines.band_keys(made), lines.bitmap_words(made)
+    monkeypatch.setattr(lines, "PART", 37)
+    assert (lines.band_keys(made) == keys).all() and (lines.bitmap_words(made) == bits).all()
+    assert [len(lines.shingle_set(t)) for t in made] == [1, 1, 44, 1, 1]
+
+
 def test_line_dedup_of_odd_rows(spark):
     long_line = "the quick brown fox jumps over the lazy dog and runs through the forest until night falls again "
     made = [(1, f"{long_line}one\nshort\n\nshort"), (2, f"  {long_line}one\r\nother"), (3, f"{long_line}two\n\nshort"),
