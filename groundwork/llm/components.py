@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from groundwork.llm.common import written
 
 
+def _print(edges: DataFrame) -> tuple:
+    """The number of edges and 128 bits of hash over them, whatever their order."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64(F.lit(1), "a", "b"))).first())
+
+
 def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b), root being the smallest node it can reach.
 
@@ -18,20 +23,22 @@ def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
     """
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     edges = written(edges, purpose)
+    before = _print(edges)
     while True:
         # Large star: the larger neighbours of a node go to its smallest neighbour.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")), purpose)
-        large = both.where("b > a").join(low, "a").select(F.col("low").alias("a"), "b").where("a < b").distinct()
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+        large = written(both.where("b > a").join(low, "a").select(F.col("low").alias("a"), "b").where("a < b")
+                        .distinct(), purpose)
         # Small star: a node and its smaller neighbours go to the smallest of them.
-        small_low = written(large.groupBy("b").agg(F.min("a").alias("low"), F.count("*").alias("n")), purpose)
-        large = large.join(small_low.select("b", "low"), "b")
-        small = written(
+        low = large.groupBy("b").agg(F.min("a").alias("low"))
+        large = large.join(low, "b")
+        edges = written(
             large.select(F.col("low").alias("a"), "b").union(large.select(F.col("low"), F.col("a")))
             .where("a < b").distinct(), purpose)
-        done = small.count() == edges.count() and small.exceptAll(edges).isEmpty()
-        edges = small
-        if done:
+        after = _print(edges)
+        if after == before:
             break
+        before = after
     roots = edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
     return roots.union(edges.select("a", "a").distinct())

@@ -9,8 +9,7 @@ each component one line stays, the first. Before that, bitmaps refuse pairs that
 only one of two lines has set stands for at least one shingle that only it has.
 
 Equal lines are one row before all this. No bucket puts out all of its pairs: its members are first compared with
-one of them, after a union-find those in other components with another one, and only what is then still apart is
-compared in full, tile by tile. Members of one large component have tiles of their own, which do not meet each
+two of them, and only what is still apart after a union-find is compared in full, tile by tile. Members of one large component have tiles of their own, which do not meet each
 other; two tiles put out no more links than connect them.
 
 Spark partitions, shuffles and joins; hashing and comparing shingles is array and set work over Arrow batches.
@@ -181,19 +180,17 @@ def similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             yield batch.select(["a", "b"]).filter(same)
 
     node = "struct<k1: bigint, k2: bigint>"
-    return pairs.join(one, "x").join(two, "y").select("a", "b", "line_a", "line_b").mapInArrow(
+    return pairs.join(two, "y").join(one, "x").select("a", "b", "line_a", "line_b").mapInArrow(
         verified, f"a {node}, b {node}")
 
 
 def labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(band, k1, label, size) of the buckets whose members are in several components."""
+    """(band, k1, label) of the buckets whose members are in several components."""
     label = roots.select(F.col("node.k1").alias("k1"), F.col("root.k1").alias("label"))
     named = written(members.join(label, "k1", "left").select(
         "band", "k1", F.coalesce("label", "k1").alias("label")), "line-labels")
-    mixed = written(named.groupBy("band").agg(F.min("label").alias("p"), F.max("label").alias("q"),
-                                              F.count("*").alias("size"))
-                    .where("p < q AND size > 2").select("band", "size"), "mixed-buckets")
-    return written(named.join(mixed, "band"), "lines-apart")
+    mixed = named.groupBy("band").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.count("*").alias("size"))
+    return named.join(mixed.where("p < q AND size > 2").select("band"), "band")
 
 
 def _forest(one: dict, two: dict | None, least: float) -> list[tuple[int, int]]:
@@ -296,16 +293,11 @@ def line_components(lines: DataFrame, least: float = 0.8) -> DataFrame:
     near = may_hold(lines.select("k1", "k2", "line"), bloom, "k1").where("bloom_hit").groupBy("k1", "k2", "line").agg(
         F.count("*").alias("n"))
     texts = written(with_bitmaps(near.join(wanted, "k1", "left_semi")), "candidate-lines")
-    first = members.where("k1 <> low").select(F.col("low").alias("x"), F.col("k1").alias("y")).distinct()
-    links = written(similar(possible(first, texts, least), texts, least), "line-links")
-    roots = written(components(links, "line-components"), "line-roots")
-    # Another member of each bucket meets those that are still in other components than it.
-    apart = labelled(members, roots)
-    chosen = written(apart.groupBy("band").agg(F.max(F.struct(F.xxhash64("k1").alias("h"), "k1", "label")).alias("c"))
-                     .select("band", F.col("c.k1").alias("x"), F.col("c.label").alias("lx")), "line-pivots")
-    second = apart.join(chosen, "band").where("label <> lx").select("x", F.col("k1").alias("y")).distinct()
-    more = written(similar(possible(second, texts, least), texts, least), "line-links")
-    links = links.unionByName(more)
+    # Every member meets two of its bucket, the one with the smallest and the one with the largest hash.
+    ends = members.join(members.groupBy("band").agg(F.max("k1").alias("high")), "band").where("k1 <> low")
+    pivots = F.when(F.col("k1") == F.col("high"), F.array("low")).otherwise(F.array("low", "high"))
+    met = ends.select(F.explode(pivots).alias("x"), F.col("k1").alias("y")).distinct()
+    links = written(similar(possible(met, texts, least), texts, least), "line-links")
     roots = written(components(links, "line-components"), "line-roots")
     # What is then still apart within a bucket is compared in full.
     rest = written(links_apart(labelled(members, roots), texts, least), "line-links")

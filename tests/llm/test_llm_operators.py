@@ -274,7 +274,7 @@ def test_line_tiles_link_all_that_is_similar(spark, monkeypatch):
     made = spark.createDataFrame([(k, -k, t) for k, t in enumerate(texts)], "k1 long, k2 long, line string")
     rows = lines.with_bitmaps(made)
     # Ten lines are one component already, the others are apart.
-    apart = made.select(F.lit(7).cast("long").alias("band"), "k1", F.lit(len(texts)).cast("long").alias("size"),
+    apart = made.select(F.lit(7).cast("long").alias("band"), "k1",
                         F.when(F.col("k1") < 10, 0).otherwise(F.col("k1")).cast("long").alias("label"))
     found = [(r.a.k1, r.b.k1) for r in lines.links_apart(apart, rows, 0.8).collect()]
     sets, want = Sets(len(texts)), Sets(len(texts))
