@@ -56,7 +56,8 @@ def merge_identities(users: DataFrame, logins: DataFrame) -> DataFrame:
 
     ``users(user_id, email, ext_subject)``, ``logins(login_id, ext_subject, email, ts)``. Actions:
     KEEP, CHANGE_EMAIL, BIND, INSERT or REJECT, judged against the accounts before the batch. When
-    several subjects claim the same e-mail in one batch, the earliest login wins.
+    several subjects claim the same e-mail in one batch, the earliest login wins among those that
+    the accounts do not refuse.
     """
     identified = logins.where(~is_blank(F.col("ext_subject")))
     order = F.struct("ts", "login_id")
@@ -70,31 +71,30 @@ def merge_identities(users: DataFrame, logins: DataFrame) -> DataFrame:
     by_email = users.select(
         "email", F.col("user_id").alias("_e_user"), F.col("ext_subject").alias("_e_subject")
     )
-    first_claim = latest.groupBy("email").agg(F.min(order).alias("_first"))
-    joined = (
+    known, taken = F.col("_s_user").isNotNull(), F.col("_e_user").isNotNull()
+    refusal = (
+        F.when(known & taken, "EMAIL_OF_OTHER_ACCOUNT")
+        .when(taken & F.col("_e_subject").isNotNull(), "BOUND_TO_OTHER_SUBJECT")
+    )
+    met = (
         latest.join(by_subject, "ext_subject", "left")
         .join(by_email, "email", "left")
-        .join(first_claim, "email", "left")
-    )
-    known, taken = F.col("_s_user").isNotNull(), F.col("_e_user").isNotNull()
-    same = F.col("_s_email") == F.col("email")
-    late = F.struct("ts", "login_id") != F.col("_first")
-    bound = F.col("_e_subject").isNotNull()
+        .withColumn("_keeps", F.coalesce(known & (F.col("_s_email") == F.col("email")), F.lit(False)))
+        .withColumn("_refusal", F.when(~F.col("_keeps"), refusal))
+    )
+    # Who keeps an e-mail or is refused it claims nothing.
+    claims = met.where(~F.col("_keeps") & F.col("_refusal").isNull())
+    first_claim = claims.groupBy("email").agg(F.min(order).alias("_first"))
+    joined = met.join(first_claim, "email", "left")
+    late = ~F.col("_keeps") & (order != F.col("_first"))
+    reason = F.coalesce("_refusal", F.when(late, "CLAIMED_IN_BATCH"))
     action = (
-        F.when(known & same, "KEEP")
-        .when(known & taken, "REJECT")
-        .when(~known & taken & bound, "REJECT")
-        .when(late, "REJECT")
+        F.when(F.col("_keeps"), "KEEP")
+        .when(reason.isNotNull(), "REJECT")
         .when(known, "CHANGE_EMAIL")
         .when(taken, "BIND")
         .otherwise("INSERT")
     )
-    reason = (
-        F.when(known & same, F.lit(None))
-        .when(known & taken, "EMAIL_OF_OTHER_ACCOUNT")
-        .when(~known & taken & bound, "BOUND_TO_OTHER_SUBJECT")
-        .when(late, "CLAIMED_IN_BATCH")
-    )
     return joined.select(
         "ext_subject", "email", F.coalesce("_s_user", "_e_user").alias("user_id"),
         action.alias("action"), reason.alias("reason"),

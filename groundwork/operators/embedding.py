@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from groundwork.functions import text as tx
 from groundwork.functions import vectors as vx
 from groundwork.operators.ordered import number_rows
+from groundwork.session import settle
 
 BATCH_SIZE = 16
 
@@ -30,20 +31,16 @@ def missing_vectors(chunks: DataFrame, force_all: bool = False) -> DataFrame:
     return chunks if force_all else chunks.where(vx.is_missing(F.col("embedding")))
 
 
-def id_bucket(chunks: DataFrame, id_column: str, width: int = 100_000) -> Column:
-    """A value that grows with the id and puts a bounded share of ids together."""
-    if dict(chunks.dtypes)[id_column] == "string":
-        return F.substring(id_column, 1, 3)
-    return F.floor(F.col(id_column) / width)
+def keyset_batches(chunks: DataFrame, size: int = BATCH_SIZE) -> DataFrame:
+    """The batches a keyset scan in id order would read, numbered from 1.
 
-
-def keyset_batches(
-    chunks: DataFrame, size: int = BATCH_SIZE, bucket: Column | None = None
-) -> DataFrame:
-    """The batches a keyset scan in id order would read, numbered from 1, all in one job."""
-    by = id_bucket(chunks, "chunk_id") if bucket is None else bucket
-    numbered = number_rows(chunks, [], [F.col("chunk_id")], by, "_rn")
-    return numbered.withColumn("batch", F.ceil(F.col("_rn") / size).cast("long")).drop("_rn")
+    The rows are dealt by ranges of the id, whatever its type, and written down: where the ranges end is
+    sampled anew each time a plan runs. Give it only the columns that the batches need.
+    """
+    ranges = chunks.repartitionByRange("chunk_id").withColumn("_range", F.spark_partition_id())
+    ranges = settle(ranges, "id-ranges")
+    numbered = number_rows(ranges, [], [F.col("chunk_id")], F.col("_range"), "_rn")
+    return numbered.withColumn("batch", F.ceil(F.col("_rn") / size).cast("long")).drop("_rn", "_range")
 
 
 def next_batch(chunks: DataFrame, after: int | str | None, size: int = BATCH_SIZE) -> DataFrame:
@@ -110,6 +107,14 @@ def _embed_batch(embed: EmbedFunction, texts: list[str], dimensions: int) -> lis
     return [(np.asarray(v, dtype=np.float32), None) for v in vectors]
 
 
+def _embed_texts(embed: EmbedFunction, texts: list[str], dimensions: int) -> list[tuple]:
+    """As a batch, and text by text where that fails, so that a text fails whatever batch it is in."""
+    done = _embed_batch(embed, texts, dimensions)
+    if len(texts) > 1 and any(problem for _, problem in done):
+        done = [_embed_batch(embed, [text], dimensions)[0] for text in texts]
+    return done
+
+
 def embed_chunks(
     chunks: DataFrame,
     embed: EmbedFunction | None = None,
@@ -119,27 +124,26 @@ def embed_chunks(
     """Vectors for ``chunks(chunk_id, title, content)``: ``chunk_id, embedding, problem``.
 
     The model runs on Arrow batches inside the tasks, ``batch_size`` texts per call. Blank texts
-    and failed batches come back with a problem instead of a vector.
+    and those that the model fails on come back with a problem instead of a vector.
     """
     model = embed or hashing_model(dimensions)
-    texts = chunks.select("chunk_id", tx.embedding_text(F.col("title"), F.col("content")).alias("text"))
-    blank = texts.where(tx.is_blank(F.col("text")))
-    filled = texts.where(~tx.is_blank(F.col("text")))
+    text = tx.embedding_text(F.col("title"), F.col("content"))
+    texts = chunks.select("chunk_id", F.when(~tx.is_blank(text), text).alias("text"))
     schema = f"chunk_id {dict(texts.dtypes)['chunk_id']}, embedding array<float>, problem string"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            done: list[tuple] = []
-            for start in range(0, len(frame), batch_size):
-                part = frame["text"].iloc[start : start + batch_size].tolist()
-                done.extend(_embed_batch(model, part, dimensions))
+            done: list[tuple] = [(None, "BLANK")] * len(frame)
+            filled = np.flatnonzero(frame["text"].notna()).tolist()
+            for start in range(0, len(filled), batch_size):
+                part = filled[start : start + batch_size]
+                found = _embed_texts(model, frame["text"].iloc[part].tolist(), dimensions)
+                for row, result in zip(part, found, strict=True):
+                    done[row] = result
             yield pd.DataFrame({
                 "chunk_id": frame["chunk_id"],
                 "embedding": [vector for vector, _ in done],
                 "problem": [problem for _, problem in done],
             })
 
-    failed = blank.select(
-        "chunk_id", F.lit(None).cast("array<float>").alias("embedding"), F.lit("BLANK").alias("problem")
-    )
-    return filled.mapInPandas(run, schema).unionByName(failed)
+    return texts.mapInPandas(run, schema)

@@ -109,5 +109,9 @@ def _vector_schema(text: DataFrame) -> str:
 
 
 def with_sources(results: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Result rows with the title and text of their chunk. There are few results per question."""
-    return results.join(chunks, "chunk_id", "left")
+    """Result rows with the title and text of their chunk.
+
+    An inner join, so that the optimizer may ship the few results and leave the texts where they lie.
+    Written ``results`` tell it their size.
+    """
+    return results.join(chunks, "chunk_id")

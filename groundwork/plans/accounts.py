@@ -156,7 +156,10 @@ IDENTITY_VIEWS = {
                  FROM logins WHERE ext_subject IS NOT NULL) WHERE rn = 1""",
     "judged": """
         SELECT l.ext_subject, l.email, s.user_id AS s_user, s.email AS s_email, e.user_id AS e_user, e.ext_subject AS e_subject,
-               row_number() OVER (PARTITION BY l.email ORDER BY l.ts, l.login_id) > 1 AS late
+               EXISTS (SELECT 1 FROM latest o LEFT JOIN users os ON os.ext_subject = o.ext_subject
+                       LEFT JOIN users oe ON oe.email = o.email
+                       WHERE o.email = l.email AND (o.ts, o.login_id) < (l.ts, l.login_id)
+                         AND (oe.user_id IS NULL OR (os.user_id IS NULL AND oe.ext_subject IS NULL))) AS late
         FROM latest l LEFT JOIN users s ON s.ext_subject = l.ext_subject LEFT JOIN users e ON e.email = l.email""",
     "merged": """
         SELECT ext_subject, email, coalesce(s_user, e_user) AS user_id,

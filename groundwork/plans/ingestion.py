@@ -479,8 +479,7 @@ def missing_vectors(i: Inputs) -> DataFrame:
     "SELECT chunk_id, ceil(row_number() OVER (ORDER BY chunk_id) / 16)::BIGINT AS batch FROM vec_chunks",
 )
 def keyset_batches(i: Inputs) -> DataFrame:
-    batches = embedding.keyset_batches(i.vec_chunks, bucket=F.floor(F.col("chunk_id") / 100))
-    return batches.select("chunk_id", "batch")
+    return embedding.keyset_batches(i.vec_chunks.select("chunk_id"))
 
 
 @query(

@@ -21,10 +21,16 @@ def document_bucket(buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int")
 
 
+def chunk_id() -> Column:
+    """The same for a text of a document however often it is ingested: 128 bits of hash as hex digits."""
+    return F.substring(F.sha2(F.concat_ws(":", F.col("document_id").cast("string"), "chunk_hash"), 256), 1, 32)
+
+
 def stored_chunk_rows(chunks: DataFrame) -> DataFrame:
     """Segmenter output in the shape of the chunk table, not embedded yet."""
     rows = chunks.select(
         "document_id",
+        chunk_id().alias("chunk_id"),
         "chunk_hash",
         F.col("sequence_number").cast("int").alias("sequence_number"),
         truncate_title(F.col("title")).alias("title"),

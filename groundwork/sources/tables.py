@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 CHUNK_SCHEMA = T.StructType([
     T.StructField("document_id", T.LongType(), False),
+    T.StructField("chunk_id", T.StringType(), False),
     T.StructField("chunk_hash", T.StringType(), False),
     T.StructField("sequence_number", T.IntegerType(), False),
     T.StructField("title", T.StringType()),

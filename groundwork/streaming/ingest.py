@@ -30,10 +30,11 @@ def first_of_each_file(docs: DataFrame, delay: str = "1 hour") -> DataFrame:
 def incremental_ingest(docs: DataFrame, table: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
     """Segment new documents ``document_id, text, strategy`` and append their new chunks.
 
-    Segmenting is row by row; only the append looks at what is stored, once per micro-batch, so
+    A document without a strategy is cut as it would have been registered. Segmenting is row by row; only the append looks at what is stored, once per micro-batch, so
     a batch that is run again adds nothing.
     """
-    chunks = segment.segment_by_strategy(docs)
+    registered = segment.registered_strategy(F.col("strategy"))
+    chunks = segment.segment_by_strategy(docs.withColumn("strategy", registered))
 
     def append(batch: DataFrame, _: int) -> None:
         rows = sinks.stored_chunk_rows(dedupe_chunks(batch))
