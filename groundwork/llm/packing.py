@@ -25,6 +25,8 @@ from groundwork.llm.common import written
 SHARES = 512
 # Words whose ids a Python worker keeps at hand.
 KEPT_WORDS = 1 << 19
+# How the vocabulary of a byte-level BPE writes a space and a line break.
+SPACE, LINE_BREAK = "\u0120", "\u010a"
 DOUBLE_SPACE = re.compile(r"\s\s").search
 
 
@@ -120,10 +122,28 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known = Known(self.whole)
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for token, i in vocabulary.items() if token.startswith((SPACE, LINE_BREAK))]] = True
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def learn(self, words: list[str]) -> None:
+        """Keep the ids of new words, which are encoded in one go.
+
+        Each begins with its space or line break, and no other token opens with one.
+        """
+        new = [w for w in set(words) if w not in self.known and w.removeprefix("\n").split() == [w.removeprefix("\n")]]
+        if len(new) < 2:
+            return
+        joined = "".join([w if w[0] == "\n" else " " + w for w in new])
+        ids = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, "<u4")
+        starts = 4 * np.flatnonzero(self.opens[ids])
+        if len(starts) == len(new):
+            raw, edges = ids.tobytes(), [*starts.tolist(), 4 * len(ids)]
+            self.known.update(zip(new, [raw[a:b] for a, b in zip(edges, edges[1:], strict=False)], strict=True))
+
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if not text or text[0].isspace() or DOUBLE_SPACE(text) or any(token in text for token in self.added):
@@ -131,6 +151,7 @@ class Encoder:
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
         first, *words = text.replace("\n", " \n").split(" ")
+        self.learn(words)
         return self.whole(first) + b"".join(map(self.known.__getitem__, words))
 
 
