@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import defaultdict
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ KEPT_WORDS = 1 << 19
 # How the vocabulary of a byte-level BPE writes a space and a line break.
 SPACE, LINE_BREAK = "\u0120", "\u010a"
 DOUBLE_SPACE = re.compile(r"\s\s").search
+OTHER_SPACE = re.compile(r"[^\S \n]").search
 
 
 class Room:
@@ -134,11 +136,12 @@ class Encoder:
 
         Each begins with its space or line break, and no other token opens with one.
         """
-        new = [w for w in set(words) if w not in self.known and w.removeprefix("\n").split() == [w.removeprefix("\n")]]
+        new = [w for w in filterfalse(self.known.__contains__, set(words)) if w not in ("", "\n")]
         if len(new) < 2:
             return
         joined = "".join([w if w[0] == "\n" else " " + w for w in new])
-        ids = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, "<u4")
+        (encoding,) = self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)
+        ids = np.array(encoding.ids, "<u4")
         starts = 4 * np.flatnonzero(self.opens[ids])
         if len(starts) == len(new):
             raw, edges = ids.tobytes(), [*starts.tolist(), 4 * len(ids)]
@@ -151,7 +154,8 @@ class Encoder:
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
         first, *words = text.replace("\n", " \n").split(" ")
-        self.learn(words)
+        if not OTHER_SPACE(text):
+            self.learn(words)
         return self.whole(first) + b"".join(map(self.known.__getitem__, words))
 
 
