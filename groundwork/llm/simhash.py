@@ -111,19 +111,25 @@ def links(marks: DataFrame, distance: int = 2) -> DataFrame:
     return small.select("members").union(fine.select("members")).mapInArrow(_forest(distance), "a bigint, b bigint")
 
 
+def _rooted(found: DataFrame, distance: int) -> DataFrame:
+    """(fp, first, root) of each fingerprint: the smallest id that has it, the smallest fingerprint it can reach."""
+    marks = written(found.groupBy("fp").agg(F.min("doc").alias("first")), "distinct-fingerprints")
+    roots = written(components(links(marks, distance), "fingerprint-links"), "fingerprint-roots")
+    return written(marks.join(roots, marks.fp == roots.node, "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                     distance: int = 2, also: list[str] = ()) -> DataFrame:
     """One row per row of ``docs``: id, fingerprint (16 hexadecimal digits), component_id, the columns ``also``.
 
     component_id is the smallest id reachable over links of at most ``distance`` differing bits. Texts without
     words, null texts among them, have fingerprint zero and are linked like any other. Null ids are larger than
-    all others and come back as null; repeated rows are repeated.
+    all others and come back as null, so component_id does not tell components without an id apart; repeated rows
+    are repeated.
     """
     found = written(fingerprints(docs, id_col, text_col, shingle, also), "fingerprints")
-    marks = written(found.groupBy("fp").agg(F.min("doc").alias("first")), "distinct-fingerprints")
-    roots = written(components(links(marks, distance), "fingerprint-links"), "fingerprint-roots")
-    joined = written(marks.join(roots, marks.fp == roots.node, "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+    joined = _rooted(found, distance)
     lowest = written(joined.groupBy("root").agg(F.min("first").alias("component")), "components")
     named = written(joined.join(lowest, "root").select("fp", "component"), "named-fingerprints")
     hex_digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -135,14 +141,17 @@ def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col
                             distance: int = 2) -> DataFrame:
     """One row of ``docs``, all columns as they are, for each component: the one with the smallest id.
 
-    Of rows with that same id the one with the smallest hash of its text stays; rows equal in both are one.
+    Components are those of the links, whatever ids their rows have: rows without an id, or with one id, whose texts
+    are not linked all stay. Of rows with that same id the one with the smallest hash of its text stays; rows equal
+    in both are one.
     """
     marked = docs.withColumn("__doc", ident(id_col)).withColumn(
         "__print", F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
-    named = near_duplicates(marked.select("__doc", "__print", F.col(f"`{text_col}`").alias("__text")),
-                            id_col="__doc", text_col="__text", shingle=shingle, distance=distance,
-                            also=["__print"])
-    stay = written(named.groupBy("component_id").agg(F.min(F.struct(ident("__doc").alias("__doc"), "__print")).alias("stays")), "one-of-each")
-    stay = stay.select(F.col("stays.__doc").alias("__stay_doc"), F.col("stays.__print").alias("__stay_print"))
+    work = marked.select("__doc", "__print", F.col(f"`{text_col}`").alias("__text"))
+    found = written(fingerprints(work, "__doc", "__text", shingle, ["__print"]), "fingerprints")
+    first = found.groupBy("fp").agg(F.min(F.struct("doc", "__print")).alias("stays"))
+    stay = first.join(_rooted(found, distance), "fp").groupBy("root").agg(F.min("stays").alias("stays"))
+    stay = written(stay.select(F.col("stays.doc").alias("__stay_doc"), F.col("stays.__print").alias("__stay_print")),
+                   "one-of-each")
     kept = marked.join(stay, (F.col("__doc") == F.col("__stay_doc")) & (F.col("__print") == F.col("__stay_print")))
     return kept.dropDuplicates(["__doc", "__print"]).select(*[F.col(f"`{c}`") for c in docs.columns])

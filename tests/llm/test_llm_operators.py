@@ -145,6 +145,18 @@ def test_simhash_keeps_one_row_of_each_component(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def unlinked(spark):
+    """Different texts without an id and under one id, and a copy of one of them."""
+    made = [" ".join(f"{w}{k}" for k in range(60)) for w in "abcde"]
+    return frame(spark, [(None, made[0]), (None, made[1]), (None, made[1]), (7, made[2]), (7, made[3]), (8, made[3]), (9, made[4])])
+
+
+def test_simhash_keeps_unlinked_texts_without_id_or_of_one_id(spark):
+    kept = simhash.without_near_duplicates(unlinked(spark))
+    assert sorted((str(r.doc_id), r.text[0]) for r in kept.collect()) == [
+        ("7", "c"), ("7", "d"), ("9", "e"), ("None", "a"), ("None", "b")]
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 500), (None, 3), (700, 600)], "a int, b int")
     got = {r.node: r.root for r in components.components(edges).collect()}
