@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from groundwork.llm import (
-    bloom, components, decontaminate, licenses, lines, neighbours, packing, pii, queries, simhash, substring, toxicity,
+    bloom, components, decontaminate, licenses, lines, near, neighbours, packing, pii, queries, simhash, substring, toxicity,
     urls)
 
 SF = "/root/testdata/sf0.001"
@@ -157,6 +157,61 @@ def test_simhash_keeps_unlinked_texts_without_id_or_of_one_id(spark):
         ("7", "c"), ("7", "d"), ("9", "e"), ("None", "a"), ("None", "b")]
 
 
+# -- near copies ----------------------------------------------------------------------------------
+
+
+def five_words(text):
+    words = WORD.findall("".join(c.lower() if c.isascii() else c for c in text or ""))
+    n = min(5, len(words))
+    return {tuple(words[k : k + n]) for k in range(len(words) - n + 1)}
+
+
+def test_near_copies_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(near, "TILE", 4)
+    rng = np.random.default_rng(11)
+    made = [None, "", " \n", "One two", "one  TWO", "two one"]
+    for n, changes in [(100, 1), (300, 3), (1000, 10), (1000, 3), (200, 12)] * 12:
+        base = [f"w{x}" for x in rng.integers(0, 10**6, n)]
+        made.append(" ".join(base))
+        for _ in range(2):
+            copy = list(base)
+            for at in rng.integers(0, n, changes):
+                copy[at] = f"v{rng.integers(0, 10**6)}"
+            made.append(" ".join(copy))
+    chain = [f"c{k}" for k in range(60)]
+    for k in range(40):
+        made.append(" ".join(chain[k:]+ [f"d{j}" for j in range(k)]))
+    sets, up = [five_words(t) for t in made], Sets(len(made))
+    for a in range(len(made)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                up.join(a, b)
+    lowest = {}
+    for k in range(len(made)):
+        lowest.setdefault(up.find(k), k)
+    docs = frame(spark, list(enumerate(made)))
+    kept = near.without_near_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(lowest.values())
+    assert near.without_near_copies(docs.limit(0)).count() == 0
+
+
+def test_near_copies_are_not_made_by_ids(spark):
+    kept = near.without_near_copies(unlinked(spark))
+    assert sorted((str(r.doc_id), r.text[0]) for r in kept.collect()) == [
+        ("7", "c"), ("7", "d"), ("9", "e"), ("None", "a"), ("None", "b")]
+
+
+def test_near_dedup_stage_drops_near_copies(spark):
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(300)]
+    made = [(k, " ".join(words[: 50 * k] + [f"x{k}"] + words[50 * k + 1 :])) for k in range(6)]
+    docs = frame(spark, [*made, (9, "other words")])
+    assert rows(corpus_pipeline.near_dedup_stage(spark, docs, SF), "doc_id") == [(0,), (9,)]
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 500), (None, 3), (700, 600)], "a int, b int")
     got = {r.node: r.root for r in components.components(edges).collect()}
