@@ -6,6 +6,7 @@ matches and the matches themselves, so a text is read twice per kind and never o
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -71,6 +72,30 @@ def is_iban(match: Column) -> Column:
                 lambda plain: F.length(plain).between(15, 34) & (remainder(plain) == 1))
 
 
+# What follows country code and check digits, by country: so many digits (n), capitals (a), or either (c).
+IBANS = {
+    "11n": "NO", "12n": "BE", "14n": "DK FI FO GL SD", "15n": "SI", "16n": "AT BA EE LT MN XK", "17n": "HR",
+    "18n": "CR DE ME RS VA", "19n": "AE IL SO TL", "20n": "CZ ES SE SK TN", "21n": "AO CV LY MZ PT ST",
+    "22n": "DZ IR IS", "23n": "BI CF CG CM DJ GA GQ KM MG MR TD", "24n": "HU MA PL", "25n": "EG",
+    "2a12n": "FK", "2a16n": "GE", "4a10n": "NL", "4a14n": "GB IE", "4a16n": "VG", "4a20n": "HN NI SV",
+    "3n10c2n": "MK", "3n13c": "KZ LU", "3n16c": "OM", "5n12c": "CH LI", "7n16c": "GR", "8n12c": "AD",
+    "8n16c": "AL CY", "6n16c": "TR", "6n19c": "UA", "4n20c": "LB", "14n15c": "RU", "10n11c2n": "FR MC", "2n18c": "SA",
+    "1a10n12c": "IT SM", "4a13c": "LV", "4a14c": "BH", "4a15c": "GI", "4a15n": "IQ", "4a16c": "PK RO",
+    "4a6n8c": "BG", "4a5n18c": "MT", "4a4n18c": "JO YE", "4a19n3a": "MU", "4a20n3a": "SC", "4a20c": "AZ",
+    "4a21c": "PS QA", "4a22c": "KW", "4a24c": "LC", "4c4n16c": "BY", "4c20n": "DO", "4c20c": "GT", "2c18c": "MD",
+    "23n1a1c": "BR", "2c22n": "BF BJ CI ML NE SN TG", "2c19n": "GW",
+}
+
+
+def iban_pattern() -> str:
+    """A country's code and as many characters as its IBANs have, each after at most one space: no word behind it."""
+    kinds = {"n": "[0-9]", "a": "[A-Z]", "c": "[A-Z0-9]"}
+    each = [f"(?:{codes.replace(' ', '|')})[0-9]{{2}}" + "".join(
+        f"(?: ?{kinds[kind]}){{{n}}}" for n, kind in re.findall("([0-9]+)([nac])", shape))
+        for shape, codes in IBANS.items()]
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join(each)})(?![A-Za-z0-9])"
+
+
 def is_national_number(match: Column) -> Column:
     """Groups that are never issued are no such number."""
     return ~match.rlike("^(000|666|9)") & ~match.rlike("-00-") & ~match.rlike("0000$")
@@ -86,8 +111,7 @@ BASE = [
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", is_phone, needs="+"),
 ]
 ADDED = [
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", is_iban, 0.6,
-         "iban|account|konto|compte|cuenta|bank"),
+    Kind("iban", iban_pattern(), is_iban, 0.6, "iban|account|konto|compte|cuenta|bank"),
     Kind("national", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", is_national_number, 0.2,
          r"ssn|social security|\bid\b|taxpayer", needs="-"),
 ]

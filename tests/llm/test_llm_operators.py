@@ -259,6 +259,18 @@ def test_pii_added_spans_need_checksum_or_context(spark):
     assert found[3] == "national:4:15" and found[4] == found[5] == ""
 
 
+def test_ibans_end_where_their_country_says(spark):
+    compact, spaced = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    made = [f"IBAN {compact} BIC COBADEFFXXX", f"{spaced} A note", f"{spaced} 12 May", f"{compact} 250 EUR", f"pay {spaced} EUR 5",
+            f"{compact} {spaced}", "GB29 NWBK 6016 1331 9268 19 AND MORE", "FR14 2004 1010 0505 0001 3M02 606 LE 3", "NO93 8601 1117 947 2026",
+            "MT84 MALT 0110 0001 2345 MTLC AST0 01S BANK", "BE12 3456 7890 1234 " + spaced, f"{compact}1", "ZZ89 3704 0044 0532 0130 00"]
+    found = {r.doc_id: r.spans for r in pii.find_personal_data(frame(spark, list(enumerate(made)))).collect()}
+    got = [[made[k][int(a) : int(b)] for a, b in re.findall("iban:([0-9]+):([0-9]+)", found[k])] for k in range(len(made))]
+    assert got == [[compact], [spaced], [spaced], [compact], [spaced], [compact, spaced], ["GB29 NWBK 6016 1331 9268 19"],
+                   ["FR14 2004 1010 0505 0001 3M02 606"], ["NO93 8601 1117 947"], ["MT84 MALT 0110 0001 2345 MTLC AST0 01S"],
+                   [spaced], [], []]
+
+
 # -- op4 ------------------------------------------------------------------------------------------
 
 
