@@ -47,11 +47,17 @@ _NONE = np.uint64(1 << 32)
 KEY = pa.struct([("k1", pa.int64()), ("k2", pa.int64())])
 
 
+def text_print(text_col: str) -> Column:
+    """A hash of the text, which tells rows of one id, or of none, apart."""
+    return F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+
+
 def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, at, line, k1, k2) for the lines that are not blank; k1 and k2 are 128 bits of hash."""
-    work = docs.select(ident(id_col).alias("doc"), F.col(f"`{text_col}`").cast("string").alias("body"))
-    rows = work.select("doc", F.posexplode(F.split("body", "\n", -1)).alias("at", "line"))
-    rows = rows.select("doc", "at", F.btrim("line", F.lit(" \t\r")).alias("line")).where("line <> ''")
+    """(doc, print, at, line, k1, k2) for the lines that are not blank; k1 and k2 are 128 bits of hash."""
+    work = docs.select(ident(id_col).alias("doc"), text_print(text_col).alias("print"),
+                       F.col(f"`{text_col}`").cast("string").alias("body"))
+    rows = work.select("doc", "print", F.posexplode(F.split("body", "\n", -1)).alias("at", "line"))
+    rows = rows.select("doc", "print", "at", F.btrim("line", F.lit(" \t\r")).alias("line")).where("line <> ''")
     return rows.withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit(1), "line")})
 
 
@@ -310,17 +316,17 @@ def line_components(lines: DataFrame, least: float = 0.8) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
-    """(doc, removed): for each document the numbers of the lines that repeat an earlier one, sorted."""
+    """(doc, print, removed): for each document the numbers of the lines that repeat an earlier one, sorted."""
     lines = line_rows(docs, id_col, text_col)
     repeated = written(line_components(lines, least), "line-decisions")
-    seen = written(lines.select("doc", "at", "k1", "k2").join(repeated, ["k1", "k2"]).select(
-        "doc", "at", "root", "first"), "repeated-places")
-    # In the first document itself the first of its lines stays.
-    own = seen.where("doc = first")
-    stay = written(own.groupBy("root").agg(F.min("at").alias("stays")), "lines-that-stay")
-    gone = seen.where("doc > first").select("doc", "at").union(
-        own.join(stay, "root").where("at > stays").select("doc", "at"))
-    return gone.groupBy("doc").agg(F.sort_array(F.collect_set("at")).alias("removed"))
+    seen = written(lines.select("doc", "print", "at", "k1", "k2").join(repeated, ["k1", "k2"]).select(
+        "doc", "print", "at", "root", "first"), "repeated-places")
+    # Among the rows with the first id the one with the smallest print comes first, and in it the first of its lines.
+    own = seen.where("doc = first").withColumn("place", F.struct("print", "at"))
+    stay = written(own.groupBy("root").agg(F.min("place").alias("stays")), "lines-that-stay")
+    gone = seen.where("doc > first").select("doc", "print", "at").union(
+        own.join(stay, "root").where("place > stays").select("doc", "print", "at"))
+    return gone.groupBy("doc", "print").agg(F.sort_array(F.collect_set("at")).alias("removed"))
 
 
 def judge_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
@@ -328,13 +334,15 @@ def judge_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Of every component of equal or similar lines the one in the document with the smallest id stays, and in that
     document the first. Blank lines are never compared or removed; blanks at the ends of a line do not count. A null
-    text has no line. Rows that share an id count as one document; null ids come last and as one.
+    text has no line. Null ids come last. Rows that share an id, or have none, are documents of their own, in the order
+    of a hash of their texts; rows equal in both id and text count as one document and get equal results.
     """
     gone = written(removed_lines(docs, id_col=id_col, text_col=text_col, least=least), "removed-lines")
     text = F.col(f"`{text_col}`").cast("string")
     count = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n", -1)))
-    rows = docs.select(ident(id_col).alias("doc"), count.alias("n_lines")).join(gone, "doc", "left")
-    mine = F.filter(F.coalesce("removed", F.array().cast("array<int>")), lambda at: at < F.col("n_lines"))
+    rows = docs.select(ident(id_col).alias("doc"), text_print(text_col).alias("print"), count.alias("n_lines")).join(
+        gone, ["doc", "print"], "left")
+    mine = F.coalesce("removed", F.array().cast("array<int>"))
     return rows.select(real_id().alias(id_col), F.col("n_lines").cast("long").alias("n_lines"),
                        F.size(mine).cast("long").alias("n_removed"), F.array_join(mine.cast("array<string>"), ",").alias("removed"))
 
@@ -344,12 +352,14 @@ def without_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     """``docs``, all other columns as they are, with the repeated lines cut out of the text.
 
     A document of which no line that says something is left goes; one that was blank or null before stays as it is.
+    Rows are told apart as in ``judge_lines``.
     """
     gone = written(removed_lines(docs, id_col=id_col, text_col=text_col, least=least), "removed-lines")
-    gone = gone.select(F.col("doc").alias("__doc"), F.col("removed").alias("__removed"))
+    gone = gone.select(F.col("doc").alias("__doc"), F.col("print").alias("__own"), F.col("removed").alias("__removed"))
     lines = F.split(F.col(f"`{text_col}`").cast("string"), "\n", -1)
     left = F.array_join(F.filter(lines, lambda line, at: ~F.array_contains("__removed", at)), "\n")
     text = F.when(F.col("__removed").isNull(), F.col(f"`{text_col}`")).otherwise(left)
-    cut = docs.join(gone, ident(id_col) == F.col("__doc"), "left").withColumn(text_col, text)
+    same = (ident(id_col) == F.col("__doc")) & (text_print(text_col) == F.col("__own"))
+    cut = docs.join(gone, same, "left").withColumn(text_col, text)
     return cut.where(F.col("__removed").isNull() | (F.btrim(text_col, F.lit(" \t\r\n")) != "")).select(
         *[F.col(f"`{c}`") for c in docs.columns])

@@ -398,6 +398,19 @@ def test_line_dedup_of_odd_rows(spark):
     assert lines.judge_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_tells_rows_without_id_or_of_one_id_apart(spark):
+    made = [(1, "shared line"), (None, "one\ntwo\nshared line\nfour"), (None, "five\nsix\nseven\neight"),
+            (4, "head\nsame"), (4, "cape\nsame"), (4, "tail\nnine")]
+    kept = [(r.doc_id, r.text) for r in lines.without_repeated_lines(frame(spark, made)).collect()]
+    texts = {t for _, t in kept}
+    assert len(kept) == 6 and {"shared line", "one\ntwo\nfour", "five\nsix\nseven\neight", "tail\nnine"} <= texts
+    # One of the two rows of id 4 keeps the line that both have.
+    assert texts & {"head\nsame", "cape\nsame"} and len(texts & {"head", "cape"}) == 1
+    found = lines.judge_lines(frame(spark, made)).collect()
+    assert sorted((r.doc_id or 0, r.removed) for r in found) == [
+        (0, ""), (0, "2"), (1, ""), (4, ""), (4, ""), (4, "1")]
+
+
 # -- op6 ------------------------------------------------------------------------------------------
 
 
