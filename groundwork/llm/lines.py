@@ -2,8 +2,11 @@
 
 A line's shingles are all runs of ten characters of it (a shorter line is one shingle). One 64-bit hash of each
 shingle falls into one of 24 bins, and a bin's smallest value is one MinHash (one-permutation hashing, empty bins
-filled from the next). Lines whose values agree in all four bins of one of ten bands are candidates: a pair with
-Jaccard similarity 0.8 becomes one with a probability of about 0.99, one with 0.1 hardly ever. Every candidate is
+filled from the next). Lines whose values agree in all four bins of one of ten bands are candidates. The bins of a line
+of few shingles are no independent draws, so lines of fewer than ``SHORT`` different shingles have 48 independent hash
+functions in twelve bands of four instead; lines of nearly so many have both, for no pair of similar lines is to stand
+on two sides. A pair with Jaccard similarity 0.8 becomes a candidate with a probability of 0.998 if it is short and of
+about 0.99 else, one with 0.1 hardly ever. Every candidate is
 verified by exact Jaccard similarity over the shingles themselves, links go through a distributed union-find, and of
 each component one line stays, the first. Before that, bitmaps refuse pairs that cannot be similar: every bit that
 only one of two lines has set stands for at least one shingle that only it has.
@@ -24,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from groundwork.llm import minhash
 from groundwork.llm.bloom import bloom_filter, may_hold
 from groundwork.llm.common import as_bytes, ident, mix, real_id, written
 from groundwork.llm.components import components
@@ -32,7 +36,13 @@ SHINGLE = 10
 BINS = 24
 # Bins of each band: the columns of a grid of four rows of six, and four of its diagonals.
 BANDS = [[c + 6 * r for r in range(4)] for c in range(6)] + [[(c + r) % 6 + 6 * r for r in range(4)] for c in range(4)]
-BAND_COLUMNS = [f"band{j}" for j in range(len(BANDS))]
+# Different shingles from which bins are used alone, and the lines that have both kinds of bands: a line that is similar
+# to one of SHORT shingles has at least so many.
+SHORT = 64
+BOTH = SHORT * 4 // 5
+SHORT_ROWS, SHORT_BANDS = 4, 12
+SEEN = 1 << 10
+BAND_COLUMNS = [f"band{j}" for j in range(len(BANDS) + SHORT_BANDS)]
 # 64-bit words of a line's bitmap of shingles.
 WORDS = 24
 # Lines and characters of a bucket in one tile, as dealt by hash.
@@ -44,6 +54,7 @@ ROWS = 1 << 11
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.uint64(1 << 32)
+_BY = minhash.factors(SHORT_ROWS * SHORT_BANDS)
 KEY = pa.struct([("k1", pa.int64()), ("k2", pa.int64())])
 
 
@@ -89,21 +100,34 @@ def shingle_hashes(lines: list[str]):
 
 
 def band_keys(lines: list[str]) -> np.ndarray:
-    """One row per line, one key per band."""
+    """One row per line, one key per band; 0 for the bands that a line is too short or too long for."""
     least = np.full(len(lines) * BINS, _NONE)
+    seen = np.zeros((len(lines), SEEN), bool)
     for of, hashed in shingle_hashes(lines):
         np.minimum.at(least, of * BINS + (hashed % np.uint64(BINS)).astype(np.int64), hashed >> np.uint64(32))
+        seen[of, (hashed % np.uint64(SEEN)).astype(np.int64)] = True
+    # So many different shingles at least; where that leaves it open they are counted.
+    many = np.minimum(seen.sum(axis=1), SHORT)
+    for k in np.flatnonzero(many < SHORT).tolist():
+        many[k] = min(len(shingle_set(lines[k])), SHORT) if len(lines[k]) >= BOTH else many[k]
+    short = np.flatnonzero(many < SHORT)
+    own = np.full((len(lines), len(_BY)), np.uint64(2**64 - 1))
+    for of, hashed in shingle_hashes([lines[k] for k in short.tolist()]):
+        minhash.lower(own, short[of], hashed, _BY)
     least = least.reshape(-1, BINS)
     for _ in range(BINS - 1):
         if not (least == _NONE).any():
             break
         least = np.where(least == _NONE, np.roll(least, -1, axis=1), least)
-    keys = np.empty((len(lines), len(BANDS)), np.uint64)
+    keys = np.empty((len(lines), len(BAND_COLUMNS)), np.uint64)
     for j, band in enumerate(BANDS):
         total = np.full(len(lines), j, np.uint64)
         for b in band:
             total = mix(total * _FACTOR + least[:, b])
         keys[:, j] = total
+    keys[:, len(BANDS) :] = minhash.keys_of(own, SHORT_ROWS, len(BANDS))
+    keys[many < BOTH, : len(BANDS)] = 0
+    keys[many >= SHORT, len(BANDS) :] = 0
     return keys.view(np.int64)
 
 
@@ -111,7 +135,7 @@ def _signed(batches):
     for batch in batches:
         keys = band_keys(as_texts(batch.column("line")))
         yield pa.record_batch({"k1": batch.column("k1"), "k2": batch.column("k2"), "doc": batch.column("doc"),
-                               **{c: pa.array(np.ascontiguousarray(keys[:, j])) for j, c in enumerate(BAND_COLUMNS)}})
+                               **{c: pa.array(keys[:, j], mask=keys[:, j] == 0) for j, c in enumerate(BAND_COLUMNS)}})
 
 
 def signatures(lines: DataFrame) -> DataFrame:
@@ -289,7 +313,7 @@ def links_apart(apart: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 def line_components(lines: DataFrame, least: float = 0.8) -> DataFrame:
     """(k1, k2, root, doc, n): the lines that have a copy or a near copy, their component, its first document."""
     marks = written(signatures(lines), "line-signatures")
-    bands = marks.select("k1", F.explode(F.array(*BAND_COLUMNS)).alias("band"))
+    bands = marks.select("k1", F.explode(F.array_compact(F.array(*BAND_COLUMNS))).alias("band"))
     buckets = written(bands.groupBy("band").agg(F.min("k1").alias("low"), F.count("*").alias("size"))
                       .where("size > 1").select("band", "low"), "line-buckets")
     members = written(bands.join(buckets, "band"), "line-members")

@@ -411,6 +411,22 @@ def test_line_dedup_tells_rows_without_id_or_of_one_id_apart(spark):
         (0, ""), (0, "2"), (1, ""), (4, ""), (4, ""), (4, "1")]
 
 
+@pytest.mark.parametrize("length, changes", [(19, 1), (20, 1), (22, 1), (27, 2), (29, 2), (40, 2), (58, 5), (75, 6), (200, 10)])
+def test_bands_meet_similar_lines_of_all_lengths(length, changes):
+    rng = np.random.default_rng(length)
+    pairs = []
+    while len(pairs) < 2000:
+        one = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), length))
+        two = one[: length - changes] + "".join(rng.choice(list("0123456789"), changes))
+        if lines._alike(lines.shingle_set(one), lines.shingle_set(two), 0.8):
+            pairs.append((one, two))
+        else:
+            pytest.fail("not similar")
+    a, b = (lines.band_keys([p[k] for p in pairs]) for k in (0, 1))
+    met = ((a == b) & (a != 0)).any(axis=1).mean()
+    assert met >= 0.985
+
+
 # -- op6 ------------------------------------------------------------------------------------------
 
 
