@@ -8,6 +8,7 @@ meets the chunks on a grid of (question block, chunk cell) groups of bounded siz
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +27,11 @@ CANDIDATES = 10
 # Questions that travel to every task: 4096 vectors of 768 floats are 12 MB.
 SHIPPED_QUESTIONS = 4096
 
+# Share of a sample's exact neighbours that the probed cells must hold: all questions are to reach 0.9.
+TARGET = 0.95
+SAMPLE_QUESTIONS = 256
+MOST_CELLS = 1024
+
 # Similarities compared at a time in a task.
 _BLOCK = 4_000_000
 
@@ -225,31 +231,56 @@ def _meet_on_grid(
     return left.cogroup(right).applyInArrow(_nearest_in_group(k), _output_schema(stored, asked))
 
 
+def _cell_order(vectors: pd.Series, centers: np.ndarray) -> np.ndarray:
+    """The cells of each vector, nearest first."""
+    matrix = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    return np.argsort(-(matrix @ centers.T), axis=1, kind="stable").astype(np.int32)
+
+
 def _cell_finder(centers: np.ndarray, count: int):
     @F.pandas_udf("array<int>")
     def nearest(vectors: pd.Series) -> pd.Series:
-        matrix = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
-        matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
-        order = np.argsort(-(matrix @ centers.T), axis=1, kind="stable")[:, :count]
-        return pd.Series(list(order.astype(np.int32)))
+        return pd.Series(list(_cell_order(vectors, centers)[:, :count]))
 
     return nearest
 
 
+def _probes_for(
+    chunks: DataFrame, asked: DataFrame, dimensions: int, k: int, placed: DataFrame, centers: np.ndarray
+) -> int:
+    """The fewest cells that hold ``TARGET`` of the exact neighbours of a sample of the questions."""
+    sample = asked.orderBy(F.xxhash64("query_id")).limit(SAMPLE_QUESTIONS)
+    sample = settle(sample, "sample-questions")
+    order = sample.select("query_id", "embedding").toPandas().drop_duplicates("query_id")
+    if order.empty:
+        return 1
+    exact = vector_topk(chunks, sample, dimensions, k).select("query_id", "chunk_id")
+    cells = placed.groupBy("chunk_id").agg(F.min("_cell").alias("_cell"))
+    found = cells.join(F.broadcast(exact), "chunk_id").select("query_id", "_cell").toPandas()
+    if found.empty:
+        return 1
+    ranks = np.argsort(_cell_order(order["embedding"], centers), axis=1)
+    row = pd.Series(np.arange(len(order)), index=order["query_id"])
+    at = np.sort(ranks[row[found["query_id"]].to_numpy(), found["_cell"].to_numpy()])
+    return int(at[int(np.ceil(TARGET * len(at))) - 1]) + 1
+
+
 def vector_topk_approx(
     chunks: DataFrame,
     questions: DataFrame,
     dimensions: int,
     k: int = CANDIDATES,
-    cells: int = 16,
-    probes: int = 10,
+    cells: int | None = None,
+    probes: int | None = None,
     group_rows: int = 20_000,
     question_rows: int = SHIPPED_QUESTIONS,
     seed: int = 42,
 ) -> DataFrame:
     """The nearest chunks within the ``probes`` cells closest to each question.
 
-    Cells come from k-means over the chunk vectors. A cell is cut into parts of bounded size, so
+    Unless given, the number of cells grows with the square root of the table, and probes are as many as the exact
+    search says that a sample of the questions needs to find ``TARGET`` of its neighbours. Cells come from k-means over the chunk vectors. A cell is cut into parts of bounded size, so
     that a crowded one (many copies of a text) is spread over tasks; every question block that
     probes the cell visits all its parts.
     """
@@ -262,6 +293,8 @@ def vector_topk_approx(
     raw = stored.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("raw"))
     unit = Normalizer(inputCol="raw", outputCol="features").transform(raw).select("features")
     unit = unit.persist()
+    if cells is None:
+        cells = min(MOST_CELLS, max(16, math.isqrt(unit.count()) // 2))
     model = KMeans(k=cells, seed=seed, maxIter=10).fit(unit)
     unit.unpersist()
     centers = np.stack(model.clusterCenters())
@@ -269,6 +302,8 @@ def vector_topk_approx(
     # The cell table is the index: written once, then read by cell.
     own = _cell_finder(centers, 1)
     placed = settle(stored.withColumn("_cell", F.element_at(own("embedding"), 1)), "cells")
+    if probes is None:
+        probes = _probes_for(chunks, asked, dimensions, k, placed, centers)
     parts = placed.groupBy("_cell").agg(
         F.ceil(F.count(F.lit(1)) / group_rows).cast("int").alias("_parts")
     )

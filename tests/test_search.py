@@ -119,6 +119,19 @@ def test_relaxed_list_is_cut_before_strict_ones_leave(spark):
     assert len(text) == 10 and [r["text_rank"] for r in sorted(text, key=lambda r: r["text_rank"])] == list(range(1, 11))
 
 
+def test_approximate_search_finds_nine_of_ten_neighbours(spark):
+    rng = np.random.default_rng(4)
+    stored = spark.createDataFrame(
+        [(n, rng.normal(size=48).tolist(), [], True) for n in range(1500)],
+        "chunk_id long, embedding array<float>, subjects array<string>, default_visible boolean")
+    asked = spark.createDataFrame(
+        [(q, rng.normal(size=48).tolist(), None) for q in range(400)],
+        "query_id long, embedding array<float>, scope array<string>")
+    exact, found = [{(r["query_id"], r["chunk_id"]) for r in search(stored, asked, 48).collect()}
+                    for search in (vs.vector_topk, vs.vector_topk_approx)]
+    assert len(exact) == 4000 and len(exact & found) >= 0.9 * len(exact)
+
+
 @pytest.mark.parametrize("shipped, group_rows", [(1000, 1000), (3, 40)])
 def test_vector_topk_equals_brute_force_with_copies_and_scopes(spark, shipped, group_rows):
     rng = np.random.default_rng(1)
