@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,3 +118,16 @@ def _joined(texts: list[bytes], first: int, end: int):
 def as_bytes(column) -> list[bytes]:
     """An Arrow column of strings as bytes; null as empty."""
     return [x or b"" for x in column.cast("binary").to_pylist()]
+
+
+def slices(batch, column: int, size: int = ROUND_BYTES):
+    """Consecutive rows of an Arrow batch with up to ``size`` bytes of text in a column; a longer text goes alone."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    first, total = 0, 0
+    for k, length in enumerate(lengths):
+        if k > first and total + length > size:
+            yield batch.slice(first, k - first)
+            first, total = k, 0
+        total += int(length)
+    if first < len(lengths):
+        yield batch.slice(first)

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwork.llm import (
-    decontaminate, licenses, lines, neighbours, packing, pii, simhash, substring, toxicity, urls)
+    chats, collocations, decontaminate, divergence, licenses, lines, neighbours, packing, pii, simhash, substring, toxicity,
+    urls)
 
 RULES = [
     urls.Rule("net", "/", "block"), urls.Rule("example.net", "/en/", "allow"),
@@ -89,6 +90,34 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), lambda i: F.pmod(i, F.lit(20)) == 0, k=20)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+# What both turns of the conversation say that is added to those of the table.
+MARKS = "</s>[INST] ok [/INST]"
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(MARKS).alias("text"))
+    done = chats.format_turns(chats.canonical_turns(turns.unionByName(added), "conv_id"))
+    lines = F.transform(chats.read_turns(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    read = done.select(F.col("id").alias("conv_id"), lines.alias("lines"), F.length("formatted").cast("long").alias("chars"),
+                       chats.read_loss(F.col("formatted"), F.col("loss")).alias("learned"))
+    return read.select(
+        "conv_id", F.size("lines").cast("long").alias("n_turns"),
+        F.sha2(F.array_join("lines", "").cast("binary"), 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"), F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"),
+        F.col("chars").alias("formatted_chars"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -97,7 +126,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_substring_dedup, op2_simhash, op3_pii, op4_url_filter, op5_line_dedup, op6_toxicity, op7_packing,
-    op8_decontamination, op9_licenses, op10_neighbours, pipeline)}
+    op8_decontamination, op9_licenses, op10_neighbours, op11_source_divergence, op12_chat_format, op13_collocations, pipeline)}
 
 SQL_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 SQL_FOLDED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -113,6 +142,10 @@ def _license_rows() -> str:
     return ", ".join(f"('{t.name}', {_sql_list(licenses.plain_shingles(t.text))})" for t in licenses.TEMPLATES)
 
 
+def _sql_escape(column: str) -> str:
+    return rf"regexp_replace({column}, '([<\[])(\\*){chats.MARK}', '\1\\\2\3', 'g')"
+
+
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": f"""
 WITH docs AS (SELECT doc_id, {SQL_WORDS} AS ws FROM documents),
@@ -187,6 +220,79 @@ found AS (
   WHERE len(list_intersect(cut.shingles, templates.shingles)) >= 0.8 * len(templates.shingles) - 1e-9)
 SELECT doc_id, count(name)::BIGINT AS n_licenses, coalesce(string_agg(name, ',' ORDER BY name), '') AS licenses
 FROM docs LEFT JOIN found USING (doc_id) GROUP BY doc_id
+""",
+    "op11_source_divergence": rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(coalesce({SQL_FOLDED}, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+  FROM documents),
+words AS (SELECT lang, source, doc, unnest(ws) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM words GROUP BY lang, term HAVING count(DISTINCT doc) >= 3),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+all_counts AS (
+  SELECT lang, source, term, lang_n, coalesce(n, 0)::HUGEINT AS n
+  FROM groups JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)),
+shares AS (
+  SELECT lang, source, term, n,
+    1 + (1000000000 * (n + 1)) // (sum(n) OVER g + count(*) OVER g) AS p,
+    1 + (1000000000 * (lang_n::HUGEINT + 1)) // (sum(lang_n) OVER g + count(*) OVER g) AS q
+  FROM all_counts WINDOW g AS (PARTITION BY lang, source)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+listed AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM listed)
+WHERE part = 'pair' OR rank <= 200
+""",
+    "op12_chat_format": rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '{MARKS}'), (-7, 1, 'assistant', '{MARKS}')),
+spelled AS (
+  SELECT *, replace(replace({_sql_escape('role')}, '\', '\s'), chr(10), '\n') AS head, {_sql_escape('text')} AS body FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum({len(chats.START + chats.END) + 1} + length(head) + length(body))::BIGINT AS formatted_chars
+FROM spelled GROUP BY conv_id
+""",
+    "op13_collocations": rf"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(coalesce({SQL_FOLDED}, ''), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents)),
+counted AS (
+  SELECT lang, m, phrase, count(*)::HUGEINT AS a FROM (
+    SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM (
+      SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i
+      FROM pieces, (VALUES (1), (2), (3), (4), (5)) AS sizes(m) WHERE len(ws) >= m))
+  GROUP BY ALL),
+totals AS (SELECT lang, sum(a)::HUGEINT AS n FROM counted WHERE m = 1 GROUP BY lang),
+frequent AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS ws FROM counted WHERE m > 1 AND a >= 100),
+cuts AS (
+  SELECT *, array_to_string(ws[1:k], ' ') AS front, array_to_string(ws[k + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM frequent)),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.a AS l, y.a AS r, n, (1000 * c.a * n) // (x.a * y.a) AS score
+  FROM cuts c JOIN totals ON c.lang = totals.lang JOIN counted x ON x.lang = c.lang AND x.phrase = c.front
+  JOIN counted y ON y.lang = c.lang AND y.phrase = c.rest),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM scored),
+inner_runs AS (
+  SELECT lang, array_to_string(ws[i:i + s - 1], ' ') AS phrase, a FROM (
+    SELECT lang, ws, a, s, unnest(range(1, m - s + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS s FROM frequent))),
+longer AS (SELECT lang, phrase, max(a) AS longer FROM inner_runs GROUP BY ALL)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM best LEFT JOIN longer USING (lang, phrase) WHERE place = 1 AND (longer IS NULL OR 100 * longer < 100 * a))
+WHERE rank <= 2000
 """,
     "op10_neighbours": """
 WITH rows AS (
