@@ -10,6 +10,7 @@ from groundwork.operators import fulltext as ft
 from groundwork.operators.scope import with_visibility
 from groundwork.operators.vector_search import vector_topk
 from groundwork.session import settle
+from groundwork.sources.postings import TextIndex
 
 RANK_OFFSET = 60
 TOP_K = 4
@@ -63,16 +64,21 @@ def hybrid_search(
     vectors: DataFrame | None = None,
     dimensions: int = 768,
     top_k: int = TOP_K,
+    index: TextIndex | None = None,
 ) -> DataFrame:
     """Best chunks per question.
 
     ``questions(query_id, query[, scope][, embedding])``,
     ``chunks(chunk_id, document_id, title, content)``,
     ``vectors(chunk_id, document_id, embedding)``. Without vectors only the text ranking counts,
-    as when no embedding model can be reached.
+    as when no embedding model can be reached. ``index`` is the stored index of the chunks; without one
+    an index is written for this search.
     """
     asked, askers = ask_once(questions.where(~is_blank(F.col("query"))))
-    matches = ft.match_questions(chunks, asked, words, visibility)
+    if index is None:
+        matches = ft.match_questions(chunks, asked, words, visibility)
+    else:
+        matches = ft.match_index(index, asked, words, visibility)
     text = ft.lexical_candidates(matches, chunks, asked, words)
     if vectors is None or "embedding" not in questions.columns:
         vector = text.sparkSession.createDataFrame([], _vector_schema(text))

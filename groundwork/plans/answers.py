@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from groundwork.functions import lexicon as lex
 from groundwork.operators import chat, grounding, limits, search
-from groundwork.plans import duck
+from groundwork.plans import duck, stored
 from groundwork.plans.registry import query
-from groundwork.plans.retrieval import DIMENSIONS, VIEWS, WORDS, chunk_vectors, scoped_questions, visibility
+from groundwork.plans.retrieval import DIMENSIONS, VIEWS, WORDS, scoped_questions, visibility
 from groundwork.plans.views import Inputs
 from groundwork.session import settle
 
@@ -120,7 +120,8 @@ def ask_questions(i: Inputs) -> DataFrame:
     questions = scoped_questions(i)
     # Four rows per question: written down, since three steps read them.
     found = settle(
-        search.hybrid_search(questions, i.chunk_docs, WORDS, visibility(i), chunk_vectors(i), DIMENSIONS),
+        search.hybrid_search(
+            questions, i.chunk_docs, WORDS, visibility(i), stored.chunk_vectors(i), DIMENSIONS, index=stored.text_index(i)),
         "results",
     )
     named = search.with_sources(found, i.chunk_docs).select(

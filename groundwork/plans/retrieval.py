@@ -10,7 +10,7 @@ from groundwork.functions import vectors as vx
 from groundwork.operators import evaluation, scope, search
 from groundwork.operators import fulltext as ft
 from groundwork.operators import vector_search as vs
-from groundwork.plans import duck
+from groundwork.plans import duck, stored
 from groundwork.plans.registry import query
 from groundwork.plans.views import STOP_WORDS, UBIQUITOUS, Inputs
 from groundwork.session import settle
@@ -32,15 +32,8 @@ def scoped_questions(i: Inputs) -> DataFrame:
     return settle(i.bench_queries.join(scopes, "query_id").withColumn("embedding", vector), "questions")
 
 
-def chunk_vectors(i: Inputs) -> DataFrame:
-    whole = tx.embedding_text(F.col("title"), F.col("content"))
-    return i.chunk_docs.select(
-        "chunk_id", "document_id", vx.hashed_words(whole, DIMENSIONS).alias("embedding")
-    )
-
-
 def matches(i: Inputs) -> DataFrame:
-    return ft.match_questions(i.chunk_docs, scoped_questions(i), WORDS, visibility(i))
+    return ft.match_index(stored.text_index(i), scoped_questions(i), WORDS, visibility(i))
 
 
 # -- the same in SQL -----------------------------------------------------------------------
@@ -255,7 +248,7 @@ def cover_density_rank(i: Inputs) -> DataFrame:
 @query("term_overlap_score", "SELECT query_id, chunk_id, lexical_score FROM scored_pairs", VIEWS)
 def term_overlap_score(i: Inputs) -> DataFrame:
     questions = scoped_questions(i)
-    found = ft.match_questions(i.chunk_docs, questions, WORDS, visibility(i))
+    found = ft.match_index(stored.text_index(i), questions, WORDS, visibility(i))
     pairs = found.select("query_id", "chunk_id").distinct()
     return ft.score_pairs(pairs, i.chunk_docs, questions, WORDS)
 
@@ -282,7 +275,7 @@ def lexical_scan(i: Inputs) -> DataFrame:
 )
 def lexical_candidates(i: Inputs) -> DataFrame:
     questions = scoped_questions(i)
-    found = ft.match_questions(i.chunk_docs, questions, WORDS, visibility(i))
+    found = ft.match_index(stored.text_index(i), questions, WORDS, visibility(i))
     return ft.lexical_candidates(found, i.chunk_docs, questions, WORDS)
 
 
@@ -335,9 +328,9 @@ RESULT = [
 @query("rrf_fuse", _FUSED, VIEWS)
 def rrf_fuse(i: Inputs) -> DataFrame:
     questions = scoped_questions(i)
-    found = ft.match_questions(i.chunk_docs, questions, WORDS, visibility(i))
+    found = ft.match_index(stored.text_index(i), questions, WORDS, visibility(i))
     text = ft.lexical_candidates(found, i.chunk_docs, questions, WORDS)
-    seen = scope.with_visibility(chunk_vectors(i), visibility(i), "string")
+    seen = scope.with_visibility(stored.chunk_vectors(i), visibility(i), "string")
     vector = vs.vector_topk(seen, questions, DIMENSIONS)
     return search.rrf_fuse(vector, text).select(*RESULT)
 
@@ -345,7 +338,8 @@ def rrf_fuse(i: Inputs) -> DataFrame:
 @query("hybrid_search", _FUSED + " WHERE rank <= 4", VIEWS)
 def hybrid_search(i: Inputs) -> DataFrame:
     return search.hybrid_search(
-        scoped_questions(i), i.chunk_docs, WORDS, visibility(i), chunk_vectors(i), DIMENSIONS
+        scoped_questions(i), i.chunk_docs, WORDS, visibility(i), stored.chunk_vectors(i), DIMENSIONS,
+        index=stored.text_index(i),
     ).select(*RESULT)
 
 
@@ -373,7 +367,8 @@ def hybrid_search(i: Inputs) -> DataFrame:
     },
 )
 def retrieval_eval(i: Inputs) -> DataFrame:
-    results = search.hybrid_search(scoped_questions(i), i.chunk_docs, WORDS, visibility(i))
+    results = search.hybrid_search(
+        scoped_questions(i), i.chunk_docs, WORDS, visibility(i), index=stored.text_index(i))
     return evaluation.summarize(
         evaluation.judge(i.bench_queries, results, evaluation.passages_in(i.benchmark, i.documents)), 4
     )
