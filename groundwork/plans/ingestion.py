@@ -110,12 +110,19 @@ def write_chunks(i: Inputs) -> DataFrame:
        WHERE document_id IN (SELECT document_id FROM doc_catalog WHERE status = 'FAILED')""",
 )
 def replace_document_chunks(i: Inputs) -> DataFrame:
-    stored = i.chunk_docs.select("chunk_id", "document_id", "content")
-    redone = i.doc_catalog.where(F.col("status") == "FAILED").select("document_id")
-    fresh = stored.join(redone, "document_id", "left_semi").withColumn(
-        "content", F.concat(F.lit("again: "), "content")
-    )
-    return sinks.replace_document_chunks(stored, redone, fresh).select("chunk_id", "document_id", "content")
+    """Failed documents are ingested again over a chunk table on disk; only their folders are written."""
+    path = scratch_dir(i.spark, "chunks")
+    failed = i.doc_catalog.where(F.col("status") == "FAILED").select("document_id")
+    stored = i.chunk_docs.join(failed.withColumn("again", F.lit(True)), "document_id", "left").withColumn(
+        "hash", F.sha2("content", 256))
+    content = F.concat(F.lit("again: "), "content")
+    shape = ["document_id", F.col("chunk_id").cast("string").alias("chunk_id"), F.col("hash").alias("chunk_hash"),
+             "sequence_number", "title", "content", F.lit(None).cast("string").alias("metadata"),
+             F.lit(None).cast("array<float>").alias("embedding")]
+    sinks.write_chunks(stored.select(*shape), path, buckets=8)
+    fresh = stored.where("again").withColumn("content", content).select(*shape)
+    sinks.replace_documents(i.spark, path, failed, fresh, buckets=8)
+    return sinks.read_chunks(i.spark, path).select(F.col("chunk_id").cast("long").alias("chunk_id"), "document_id", "content")
 
 
 @query(

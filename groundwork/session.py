@@ -56,3 +56,15 @@ def settle(table: DataFrame, purpose: str) -> DataFrame:
     path = scratch_dir(table.sparkSession, purpose)
     table.write.parquet(path)
     return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote, in whatever store it lies. A missing one is no error."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table that ``settle`` wrote, once nothing reads it any more."""
+    for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+        remove_folder(table.sparkSession, folder)

@@ -6,15 +6,23 @@ joining the chunks of some documents touches their folders only.
 
 from __future__ import annotations
 
+import time
+import uuid
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from groundwork.functions.text import truncate_title
 from groundwork.operators.segment import chunk_metadata
+from groundwork.session import discard, remove_folder, settle
 from groundwork.sources.tables import CHUNK_SCHEMA
 
 BUCKETS = 64
+# The chunk table as it lies on disk.
+STORED_SCHEMA = T.StructType([*CHUNK_SCHEMA.fields, T.StructField("doc_bucket", T.IntegerType())])
 
 
 def document_bucket(buckets: int = BUCKETS) -> Column:
@@ -59,28 +67,110 @@ def write_chunks(chunks: DataFrame, path: str, buckets: int = BUCKETS, mode: str
     ).parquet(path)
 
 
+def _stored_in(spark: SparkSession, path: str, buckets: Sequence[int]) -> DataFrame:
+    """Rows of the table in some folders, with ``doc_bucket``. A table that does not exist is an empty one."""
+    try:
+        stored = spark.read.schema(STORED_SCHEMA).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored = spark.createDataFrame([], STORED_SCHEMA)
+    return stored.where(F.col("doc_bucket").isin(list(buckets)))
+
+
+def _buckets_of(rows: DataFrame, buckets: int) -> list[int]:
+    """The folders that the documents of ``rows`` lie in: at most ``buckets`` numbers."""
+    return sorted(r[0] for r in rows.select(document_bucket(buckets)).distinct().collect())
+
+
+def new_rows(chunks: DataFrame, path: str, buckets: int = BUCKETS) -> DataFrame:
+    """The chunks that the table does not hold yet. Reads keys only, and only of the folders that they belong to."""
+    from groundwork.operators.ingest import dedupe_chunks
+
+    stored = _stored_in(chunks.sparkSession, path, _buckets_of(chunks, buckets))
+    held = stored.select("doc_bucket", "document_id", "chunk_hash")
+    fresh = dedupe_chunks(chunks).withColumn("doc_bucket", document_bucket(buckets))
+    return fresh.join(held, ["doc_bucket", "document_id", "chunk_hash"], "left_anti").drop("doc_bucket")
+
+
 def append_new_chunks(
     spark: SparkSession, chunks: DataFrame, path: str, buckets: int = BUCKETS
 ) -> None:
     """Append what the table does not hold yet, so that writing twice equals writing once.
 
-    A table that does not exist is an empty one.
+    The batch is written down first, as its folders are looked up before it is compared with them. A table that does
+    not exist is an empty one.
     """
-    from groundwork.operators.ingest import new_chunks_only
+    batch = settle(chunks, "chunk-batch")
+    write_chunks(new_rows(batch, path, buckets), path, buckets)
+    discard(batch)
 
+
+def replace_document_chunks(stored: DataFrame, redone: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The table after some documents are ingested again: their old chunks go, others stay."""
+    kept = stored.join(redone.select("document_id"), "document_id", "left_anti")
+    return kept.unionByName(fresh.select(*kept.columns))
+
+
+def replace_documents(
+    spark: SparkSession, path: str, redone: DataFrame, fresh: DataFrame, buckets: int = BUCKETS
+) -> list[int]:
+    """Put ``fresh`` chunks in the place of all chunks of the documents ``redone``, on disk.
+
+    Only the ``doc_bucket`` folders of those documents are written again; their numbers are returned. What the folders
+    are to hold is staged beside the table first and named in its journal, then the folders are swapped, then the
+    journal says so. A run that fails before the staging is complete has changed nothing; one that fails later is
+    finished by ``finish_replacements``, which every replacement starts with: staged folders stay until then.
+    """
+    finish_replacements(spark, path)
+    redone = settle(redone.select("document_id").distinct(), "redone")
+    fresh = settle(fresh.dropDuplicates(["document_id", "chunk_id"]), "fresh-chunks")
+    touched = sorted({*_buckets_of(redone, buckets), *_buckets_of(fresh, buckets)})
+    if touched:
+        stored = _stored_in(spark, path, touched).drop("doc_bucket")
+        rows = replace_document_chunks(stored, redone, fresh)
+        staged = f"{path}/_staged/{uuid.uuid4().hex}"
+        write_chunks(rows, staged, buckets)
+        _note(spark, path, staged, touched, False)
+        _swap(spark, path, staged, touched)
+    discard(redone)
+    discard(fresh)
+    return touched
+
+
+def finish_replacements(spark: SparkSession, path: str) -> int:
+    """Finish replacements that were staged but not swapped when their run failed. Swapping again changes nothing."""
     try:
-        stored = read_chunks(spark, path)
+        journal = spark.read.schema(JOURNAL).parquet(f"{path}/_journal")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        stored = spark.createDataFrame([], CHUNK_SCHEMA)
-    write_chunks(new_chunks_only(chunks, stored), path, buckets)
+        return 0
+    open_ones = journal.groupBy("staged").agg(
+        F.max("done").alias("done"), F.first("buckets").alias("buckets"), F.min("at").alias("at")).where("NOT done")
+    waiting = sorted(open_ones.collect(), key=lambda r: r["at"])  # a row per failed run
+    for one in waiting:
+        _swap(spark, path, one["staged"], one["buckets"])
+    return len(waiting)
 
 
-def replace_document_chunks(stored: DataFrame, redone: DataFrame, fresh: DataFrame) -> DataFrame:
-    """The table after some documents are ingested again: their old chunks go, others stay."""
-    kept = stored.join(redone.select("document_id"), "document_id", "left_anti")
-    return kept.unionByName(fresh.select(*kept.columns))
+JOURNAL = "staged string, buckets array<int>, done boolean, at long"
+
+
+def _note(spark: SparkSession, path: str, staged: str, buckets: Sequence[int], done: bool) -> None:
+    row = [(staged, list(buckets), done, time.time_ns())]
+    spark.createDataFrame(row, JOURNAL).write.mode("append").parquet(f"{path}/_journal")
+
+
+def _swap(spark: SparkSession, path: str, staged: str, buckets: Sequence[int]) -> None:
+    rows = spark.read.schema(STORED_SCHEMA).parquet(staged)
+    held = {r[0] for r in rows.select("doc_bucket").distinct().collect()}  # at most the folders touched
+    rows.write.mode("overwrite").partitionBy("doc_bucket").option("partitionOverwriteMode", "dynamic").parquet(path)
+    # An overwrite leaves folders alone that it has no rows for: their documents have lost all chunks.
+    for bucket in set(buckets) - held:
+        remove_folder(spark, f"{path}/doc_bucket={bucket}")
+    _note(spark, path, staged, buckets, True)
+    remove_folder(spark, staged)
 
 
 def update_embeddings(stored: DataFrame, vectors: DataFrame) -> DataFrame:
