@@ -47,14 +47,18 @@ def hashed_words(text: Column, dimensions: int) -> Column:
         ).cast("int"),
     )
 
+    # Every slot once more than it is hit, in order: where a slot ends tells how often it was hit.
+    every = F.sequence(F.lit(0), F.lit(dimensions - 1))
+    ordered = F.sort_array(F.concat(every, slots))
+
+    def ends(bound: Column) -> Column:
+        places = F.sequence(F.lit(1), F.size(bound))
+        return F.filter(places, lambda p: ~bound[p - 1].eqNullSafe(F.get(bound, p)))
+
     def counts(bound: Column) -> Column:
-        # A slot's count is what removing it takes away.
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(dimensions - 1)),
-            lambda d: (F.size(bound) - F.size(F.array_remove(bound, d))).cast("double"),
-        )
+        return F.transform(bound, lambda end, d: (end - F.coalesce(F.get(bound, d - 1), F.lit(0)) - 1).cast("double"))
 
-    return bind(bind(slots, counts), _normalized)
+    return bind(bind(bind(ordered, ends), counts), _normalized)
 
 
 def _normalized(counts: Column) -> Column:

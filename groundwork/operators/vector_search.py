@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -20,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwork.functions import vectors as vx
+from groundwork.operators.ranking import PAIRS, Askers, Best, visibility_class
 from groundwork.session import is_small, settle
 
 CANDIDATES = 10
@@ -32,61 +32,27 @@ TARGET = 0.95
 SAMPLE_QUESTIONS = 256
 MOST_CELLS = 1024
 
-# Similarities compared at a time in a task.
-_BLOCK = 4_000_000
 
-
-@dataclass
-class Questions:
+class Questions(Askers):
     """Question vectors of one task: ids, unit vectors, and what each one may see."""
 
-    ids: np.ndarray
-    unit: np.ndarray
-    default: np.ndarray
-    subjects: dict
-    scopes: np.ndarray
-
-    @classmethod
-    def of(cls, frame: pd.DataFrame) -> Questions:
-        matrix = np.stack([np.asarray(v, dtype=np.float64) for v in frame["embedding"]])
-        scopes = [None if s is None else list(s) for s in frame["scope"]]
-        subjects = {s: i for i, s in enumerate(sorted({s for one in scopes for s in one or []}))}
-        allowed = np.zeros((len(frame), len(subjects)), dtype=np.float32)
-        for row, scope in enumerate(scopes):
-            allowed[row, [subjects[s] for s in scope or []]] = 1.0
-        return cls(
-            frame["query_id"].to_numpy(),
-            matrix / np.linalg.norm(matrix, axis=1, keepdims=True),
-            np.array([s is None for s in scopes]),
-            subjects,
-            allowed,
-        )
-
-    def visible(self, default_visible: np.ndarray, subjects: list) -> np.ndarray:
-        """Questions by chunks: who may see what."""
-        if not self.subjects:
-            return self.default[:, None] & default_visible[None, :]
-        tagged = np.zeros((len(subjects), len(self.subjects)), dtype=np.float32)
-        for row, held in enumerate(subjects):
-            for subject in held:
-                if subject in self.subjects:
-                    tagged[row, self.subjects[subject]] = 1.0
-        in_scope = (self.scopes @ tagged.T) > 0
-        return np.where(self.default[:, None], default_visible[None, :], in_scope)
+    def __init__(self, table: pa.Table):
+        super().__init__(table.column("query_id").to_numpy(zero_copy_only=False), table.column("scope").to_pylist())
+        flat = pc.list_flatten(table.column("embedding")).to_numpy(zero_copy_only=False).astype(np.float64)
+        matrix = flat.reshape(table.num_rows, -1)
+        self.unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
 
-class Best:
-    """Running best ``k`` chunks per question; ties go to the smaller id."""
+class Nearest:
+    """Compares batches of chunks with the questions and keeps the best ``k`` of each."""
 
     def __init__(self, questions: Questions, k: int):
-        self.questions, self.k = questions, k
-        self.ids: np.ndarray | None = None
-        self.similarity: np.ndarray | None = None
+        self.questions, self.best, self.kind = questions, Best(len(questions), k), None
 
     def add(self, batch: pa.RecordBatch) -> None:
-        """Compare a batch of chunks. Vectors without a cosine with the questions are passed over."""
-        vectors = batch.column("embedding")
-        right_length = pc.equal(pc.list_value_length(vectors), self.questions.unit.shape[1])
+        """Vectors without a cosine with the questions are passed over."""
+        self.kind = batch.schema.field("chunk_id").type
+        right_length = pc.equal(pc.list_value_length(batch.column("embedding")), self.questions.unit.shape[1])
         batch = batch.filter(right_length)
         matrix = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
         matrix = matrix.astype(np.float64).reshape(batch.num_rows, -1)
@@ -94,51 +60,20 @@ class Best:
         usable = np.flatnonzero(np.isfinite(norms) & (norms > 0))
         unit = matrix[usable] / norms[usable, None]
         ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)[usable]
-        default = batch.column("default_visible").to_numpy(zero_copy_only=False)[usable].astype(bool)
-        subjects = batch.column("subjects").take(pa.array(usable)).to_pylist()
-        step = max(1, _BLOCK // len(self.questions.ids))
+        codes, seen = self.questions.masks(batch.column("class").take(pa.array(usable)))
+        step = max(1, PAIRS // len(self.questions))
         for at in range(0, len(ids), step):
             part = slice(at, at + step)
-            self._add(ids[part], unit[part], default[part], subjects[part])
-
-    def _add(self, ids: np.ndarray, unit: np.ndarray, default: np.ndarray, subjects: list) -> None:
-        by_id = np.argsort(ids, kind="stable")
-        ids, unit = ids[by_id], unit[by_id]
-        similarity = np.round(self.questions.unit @ unit.T, 6)
-        seen = self.questions.visible(default[by_id], [subjects[i] for i in by_id])
-        similarity[~seen] = -np.inf
-        columns = np.broadcast_to(ids, similarity.shape)
-        if similarity.shape[1] > self.k:
-            keep = self._first_k(similarity)
-            columns = np.take_along_axis(columns, keep, axis=1)
-            similarity = np.take_along_axis(similarity, keep, axis=1)
-        if self.ids is not None:
-            columns = np.concatenate([self.ids, columns], axis=1)
-            similarity = np.concatenate([self.similarity, similarity], axis=1)
-            codes = np.unique(columns, return_inverse=True)[1].reshape(columns.shape)
-            order = np.lexsort((codes, -similarity), axis=1)[:, : self.k]
-            columns = np.take_along_axis(columns, order, axis=1)
-            similarity = np.take_along_axis(similarity, order, axis=1)
-        self.ids, self.similarity = columns, similarity
-
-    def _first_k(self, similarity: np.ndarray) -> np.ndarray:
-        """Columns of the ``k`` best; among equals the first ones."""
-        edge = -np.partition(-similarity, self.k - 1, axis=1)[:, self.k - 1 : self.k]
-        above, level = similarity > edge, similarity == edge
-        room = self.k - above.sum(axis=1, keepdims=True)
-        chosen = above | (level & (np.cumsum(level, axis=1) <= room))
-        return np.nonzero(chosen)[1].reshape(len(similarity), self.k)
-
-    def rows(self) -> dict[str, np.ndarray]:
-        if self.ids is None:
-            return {"query_id": [], "chunk_id": [], "similarity": []}
-        question = np.broadcast_to(self.questions.ids[:, None], self.ids.shape)
-        kept = np.isfinite(self.similarity)
-        return {
-            "query_id": question[kept],
-            "chunk_id": self.ids[kept],
-            "similarity": self.similarity[kept],
-        }
+            # Copies of a vector must tie, so the noise of the last digits goes.
+            similarity = np.round(self.questions.unit @ unit[part].T, 12)
+            similarity[~seen[codes[part]].T] = -np.inf
+            self.best.add(ids[part], similarity)
+
+    def table(self, id_type: pa.DataType) -> pa.Table:
+        """(query_id, chunk_id, similarity) of what is held."""
+        questions, ids, similarity = self.best.rows(self.questions.ids)
+        return pa.table([pa.array(questions, type=id_type), pa.array(ids, type=self.kind), pa.array(similarity)],
+                        names=["query_id", "chunk_id", "similarity"])
 
 
 def _output_schema(chunks: DataFrame, questions: DataFrame) -> str:
@@ -152,7 +87,7 @@ def _stored(chunks: DataFrame) -> DataFrame:
         chunks = chunks.withColumn("subjects", F.array().cast("array<string>")).withColumn(
             "default_visible", F.lit(True)
         )
-    return chunks.select("chunk_id", "embedding", "subjects", "default_visible")
+    return chunks.select("chunk_id", "embedding", visibility_class().alias("class"))
 
 
 def _asked(questions: DataFrame, dimensions: int) -> DataFrame:
@@ -164,8 +99,10 @@ def _asked(questions: DataFrame, dimensions: int) -> DataFrame:
 
 
 def _best_overall(partial: DataFrame, k: int) -> DataFrame:
+    """The overall best ``k``, ranked by the full similarity and told by six places of it."""
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
-    return partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked = partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.withColumn("similarity", F.round("similarity", 6))
 
 
 def vector_topk(
@@ -187,29 +124,32 @@ def vector_topk(
 
 def _scan_with(stored: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     schema = _output_schema(stored, asked)
-    frame = asked.toArrow().to_pandas()
-    if frame.empty:
+    table = asked.toArrow()
+    if not table.num_rows:
         return stored.sparkSession.createDataFrame([], schema)
-    shipped = stored.sparkSession.sparkContext.broadcast(frame)
+    id_type = table.schema.field("query_id").type
+    shipped = stored.sparkSession.sparkContext.broadcast(Questions(table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = Best(Questions.of(shipped.value), k)
+        nearest = Nearest(shipped.value, k)
         for batch in batches:
-            best.add(batch)
-        yield pa.RecordBatch.from_pandas(pd.DataFrame(best.rows()), preserve_index=False)
+            nearest.add(batch)
+        if nearest.kind is not None:
+            yield from nearest.table(id_type).to_batches()
 
     return stored.mapInArrow(run, schema)
 
 
 def _nearest_in_group(k: int):
     def run(_: tuple, stored: pa.Table, asked: pa.Table) -> pa.Table:
-        best = Best(Questions.of(asked.to_pandas()), k) if asked.num_rows else None
-        if best:
-            for batch in stored.combine_chunks().to_batches():
-                best.add(batch)
-        rows = best.rows() if best else {"query_id": [], "chunk_id": [], "similarity": []}
-        kinds = [asked.schema.field("query_id").type, stored.schema.field("chunk_id").type, pa.float64()]
-        return pa.table([pa.array(v, type=t) for v, t in zip(rows.values(), kinds)], names=list(rows))
+        id_type, kind = asked.schema.field("query_id").type, stored.schema.field("chunk_id").type
+        if not asked.num_rows or not stored.num_rows:
+            return pa.table([pa.array([], id_type), pa.array([], kind), pa.array([], pa.float64())],
+                            names=["query_id", "chunk_id", "similarity"])
+        nearest = Nearest(Questions(asked), k)
+        for batch in stored.combine_chunks().to_batches():
+            nearest.add(batch)
+        return nearest.table(id_type)
 
     return run
 

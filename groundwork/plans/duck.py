@@ -73,7 +73,8 @@ def missing(v: str) -> str:
 
 
 def cosine(a: str, b: str) -> str:
-    return f"round(list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[]), 6)"
+    """Without the last digits, in which equal vectors may differ."""
+    return f"round(list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[]), 12)"
 
 
 def hashed_words(x: str, dimensions: int = DIMENSIONS) -> str:

@@ -143,7 +143,7 @@ VIEWS |= {
     "query_slots": f"SELECT query_id, {duck.hashed_words('query')} AS slots FROM bench_queries",
     "query_vectors": duck.unit_vectors("query_slots", "query_id"),
     "vector_ranked": f"""
-        SELECT * FROM (
+        SELECT query_id, chunk_id, round(similarity, 6) AS similarity, rank FROM (
           SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id)::INT AS rank FROM (
             SELECT q.query_id, v.chunk_id, {duck.cosine("q.embedding", "v.embedding")} AS similarity
             FROM query_vectors q JOIN seen s ON s.query_id = q.query_id
@@ -297,7 +297,7 @@ def visible_vectors(i: Inputs) -> DataFrame:
 
 @query(
     "vector_topk",
-    f"""SELECT * FROM (
+    f"""SELECT query_id, chunk_id, round(similarity, 6) AS similarity, rank FROM (
           SELECT query_id, chunk_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id)::INT AS rank
           FROM (SELECT e.vec_id AS query_id, c.chunk_id, {duck.cosine("e.embedding", "c.embedding")} AS similarity
                 FROM embeddings e LEFT JOIN scopes s ON s.query_id = e.vec_id
