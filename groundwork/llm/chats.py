@@ -111,8 +111,11 @@ def _keys(record: Column) -> Column:
 
 def json_fingerprint(record: Column) -> Column:
     """The same hash for a JSON text: its fields, and the fields of the first element of those that are lists."""
-    nested = [F.transform(_keys(F.get_json_object(record, f"$.{top}[0]")), lambda k, top=top: F.concat(F.lit(f"{top}[]."), k))
-              for top in sorted({p.split("[]")[0] for p in KNOWN if "[]" in p})]
+    def below(top: str) -> Column:
+        first = F.get_json_object(record, f"$.{top}[0]")
+        return F.transform(_keys(first), lambda k: F.concat(F.lit(f"{top}[]."), k))
+
+    nested = [below(top) for top in sorted({p.split("[]")[0] for p in KNOWN if "[]" in p})]
     paths = F.array_intersect(F.concat(_keys(record), *nested), F.array(*map(F.lit, KNOWN)))
     return F.md5(F.array_join(F.array_sort(paths), ",").cast("binary"))
 

@@ -10,6 +10,7 @@ little, and have a bounded size.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -19,65 +20,80 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import mix, slices, word_hashes, word_spans, written
+from groundwork.llm.common import mix, small, word_hashes, word_spans, written
 
 # Bytes that end a piece of text; A-Z count as a-z; words are runs of what is neither space nor tab.
 BREAKS = b".,;:!?\n\x0b\x0c\r"
-FOLD = bytes(b + 32 if 65 <= b <= 90 else 10 if b in BREAKS else b for b in range(256))
+FOLD = bytes(b + 32 if 65 <= b <= 90 else 10 if b in BREAKS else 32 if b == 9 else b for b in range(256))
 GAP = np.zeros(256, bool)
-GAP[[0x20, 0x09]] = True
-# One word in so many starts a chunk; no chunk has more words of its own than LONGEST.
+GAP[[0x20, 0x0A]] = True
+SPACES = re.compile(rb"  +").sub
+# One word in so many starts a chunk, about; no chunk has more words of its own than LONGEST.
 TRIGGER, LONGEST = 16, 64
-# Bytes of a text split at a time, entries that a task holds before it hands them on, hashes it holds.
+# Bytes of a text parsed at a time, entries that a task holds before it hands them on, rows and hashes it holds.
 PIECE, HELD, HASHES = 1 << 20, 100_000, 1 << 20
 # 64-bit words of the largest filter that is sent to the tasks (32 MB), bits a key sets in it.
 FILTER, BITS = 1 << 22, 3
-# Words of a run at most, and rows among which the joins deal out what belongs to one part of phrases.
+# Rows among which the joins deal out what belongs to one part of phrases.
 SALTS = 16
 
 
 # -- prefix-free parsing --------------------------------------------------------------------------
 
 
-def _words_after(text: bytes, at: int, count: int) -> list[bytes]:
-    """The next words of a piece, however long they are."""
-    size = 256
-    while True:
-        window = text[at : at + size]
-        stop = window.find(b"\n")
-        words = (window if stop < 0 else window[:stop]).split()
-        if stop >= 0 or at + size >= len(text) or len(words) > count:
-            return words[:count]
-        size *= 4
+def _steps(text: bytes, overlap: int, size: int) -> Iterator[tuple[bytes, int]]:
+    """A folded text in steps of about ``size`` bytes: (bytes, how many of them are the step's own).
 
-
-def parse(text: bytes, overlap: int, size: int = PIECE) -> Iterator[tuple[list[bytes], int]]:
-    """(words, own): the words of each chunk, the first ``own`` of which are its own."""
-    text = text.translate(FOLD)
+    A step ends where a piece does. One piece longer than that is cut at a space, and the step also holds the
+    ``overlap`` words behind the cut.
+    """
     at = 0
-    while at < len(text):
-        end, tail = len(text), []
-        if end - at > size:
-            end = text.rfind(b"\n", at, at + size)
-            if end <= at:  # A piece longer than a step: cut it at a space and look at the words behind.
-                end = max(text.rfind(b" ", at, at + size), text.rfind(b"\t", at, at + size))
-                if end <= at:
-                    ends = [k for k in (text.find(s, at + size) for s in (b"\n", b" ", b"\t")) if k >= 0]
-                    end = min(ends, default=len(text))
-                tail = _words_after(text, end, overlap)
-        lines = text[at:end].split(b"\n")
-        for k, line in enumerate(lines):
-            words = line.split()
-            behind = tail if k == len(lines) - 1 else []
-            if not words:
-                continue
-            starts = [0, *[i for i, w in enumerate(words) if not zlib.crc32(w) % TRIGGER and i], len(words)]
-            words += behind
-            for begin, stop in zip(starts, starts[1:]):
-                for first in range(begin, stop, LONGEST):
-                    last = min(first + LONGEST, stop)
-                    yield words[first : last + overlap], last - first
+    while len(text) - at > size:
+        end = text.rfind(b"\n", at, at + size)
+        if end > at:
+            yield text[at:end], end - at
+            at = end
+            continue
+        end = text.rfind(b" ", at + 1, at + size)
+        if end < 0:
+            ends = [k for k in (text.find(s, at + size) for s in (b"\n", b" ")) if k >= 0]
+            end = min(ends, default=len(text))
+        window, behind = 256, b""
+        while True:
+            ahead = text[end : end + window]
+            stop = ahead.find(b"\n")
+            words = (ahead if stop < 0 else ahead[:stop]).split()
+            if stop >= 0 or end + window >= len(text) or len(words) > overlap:
+                behind = b" ".join(words[:overlap])
+                break
+            window *= 4
+        yield text[at:end] + b" " + behind, end - at
         at = end
+    yield text[at:], len(text) - at
+
+
+def parse(text: bytes, overlap: int, size: int = PIECE) -> Iterator[tuple[bytes, int]]:
+    """(chunk, own): the words of each chunk, one space between them, and how many of them are its own."""
+    text = text.translate(FOLD)
+    if b"  " in text:
+        text = SPACES(b" ", text)
+    for step, own_bytes in _steps(text, overlap, size):
+        raw = np.frombuffer(step, np.uint8)
+        starts, ends = word_spans(raw, GAP)
+        own = int(np.searchsorted(starts, own_bytes))
+        if not own:
+            continue
+        piece = np.cumsum(raw == 10)[starts]
+        at = np.arange(own)
+        # A word's bytes decide whether it starts a chunk, so equal passages are cut alike.
+        mark = (raw[starts[:own]].astype(np.int64) * 31 + raw[ends[:own] - 1] * 7 + (ends[:own] - starts[:own])) % TRIGGER == 0
+        mark |= np.concatenate([[True], piece[1:own] != piece[: own - 1]])
+        since = at - np.maximum.accumulate(np.where(mark, at, 0))
+        begins = np.flatnonzero(mark | (since % LONGEST == 0))
+        stops = np.append(begins[1:], own)
+        lasts = np.minimum(stops + overlap, np.searchsorted(piece, piece[begins], "right")) - 1
+        for a, b, n in zip(starts[begins].tolist(), ends[lasts].tolist(), (stops - begins).tolist()):
+            yield step[a:b], n
 
 
 def _entries(held: Counter) -> pa.RecordBatch:
@@ -90,14 +106,12 @@ def _entries(held: Counter) -> pa.RecordBatch:
 def _chunks(longest: int):
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Counter()
-        for batch in batches:
-            for part in slices(batch, 1):
-                for lang, text in zip(part.column(0).to_pylist(), part.column(1).cast("binary").to_pylist()):
-                    for words, own in parse(text, longest - 1):
-                        held[lang, own, b" ".join(words)] += 1
-                        if len(held) >= HELD:
-                            yield _entries(held)
-                            held = Counter()
+        for part in small(batches, 1):
+            for lang, text in zip(part.column(0).to_pylist(), part.column(1).cast("binary").to_pylist()):
+                held.update([(lang, own, chunk) for chunk, own in parse(text, longest - 1)])
+                if len(held) >= HELD:
+                    yield _entries(held)
+                    held = Counter()
         if held:
             yield _entries(held)
 
@@ -107,32 +121,39 @@ def _chunks(longest: int):
 # -- counting inside entries ----------------------------------------------------------------------
 
 
+class _Sums:
+    """Sums of weights by key columns, over Arrow tables, handed on when a task holds too many."""
+
+    def __init__(self, keys: list[str], most: int):
+        self.keys, self.most, self.tables, self.rows = keys, most, [], 0
+
+    def add(self, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        if table.num_rows:
+            self.tables.append(self._summed([table]))
+            self.rows += self.tables[-1].num_rows
+            if self.rows > self.most:
+                self.tables = [self._summed(self.tables)]
+                self.rows = self.tables[0].num_rows
+                if self.rows > self.most // 2:
+                    yield from self.rest()
+
+    def _summed(self, tables: list[pa.Table]) -> pa.Table:
+        summed = pa.concat_tables(tables).group_by(self.keys).aggregate([("a", "sum")])
+        return summed.rename_columns([*self.keys, "a"])
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.tables:
+            yield from self._summed(self.tables).to_batches()
+        self.tables, self.rows = [], 0
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Weighted counts of the words of the entries' own parts."""
-    def rows(held: dict) -> pa.RecordBatch:
-        return _counted([(lang, word, 1, n) for lang, words in held.items() for word, n in words.items()])
-
-    held, size = {}, 0
-    for batch in batches:
-        for part in slices(batch, 2):
-            for lang, own, chunk, n in zip(*(part.column(k).to_pylist() for k in (0, 1)),
-                                           part.column(2).cast("binary").to_pylist(), part.column(3).to_pylist()):
-                words = held.setdefault(lang, {})
-                before = len(words)
-                for word in chunk.split()[:own]:
-                    words[word] = words.get(word, 0) + n
-                size += len(words) - before
-            if size > HELD:
-                yield rows(held)
-                held, size = {}, 0
-    if held:
-        yield rows(held)
-
-
-def _counted(rows: list[tuple]) -> pa.RecordBatch:
-    langs, phrases, words, n = zip(*rows) if rows else ((), (), (), ())
-    return pa.record_batch([pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()),
-                            pa.array(words, pa.int32()), pa.array(n, pa.int64())], names=["lang", "phrase", "words", "a"])
+    sums = _Sums(["lang", "phrase", "words"], 4 * HELD)
+    for part in small(batches, 2):
+        table = _Words(part)
+        yield from sums.add(table.phrases(np.flatnonzero(table.own), 1))
+    yield from sums.rest()
 
 
 class _Words:
@@ -140,49 +161,64 @@ class _Words:
 
     def __init__(self, part: pa.RecordBatch):
         texts = part.column(2).cast("binary").to_pylist()
-        self.langs = part.column(0).to_pylist()
-        self.raw = b" ".join(texts)
         places = np.cumsum([0] + [len(t) + 1 for t in texts])
-        raw = np.frombuffer(self.raw, np.uint8)
-        self.starts, self.ends = word_spans(raw, GAP)
-        self.entry = np.searchsorted(places, self.starts, "right") - 1
+        self.raw = np.frombuffer(b" ".join(texts), np.uint8)
+        self.starts, self.ends = word_spans(self.raw, GAP)
         firsts = np.searchsorted(self.starts, places[:-1])
-        counts = np.diff([*firsts, len(self.starts)])
+        counts = np.diff(np.append(firsts, len(self.starts)))
+        self.entry = np.repeat(np.arange(len(texts)), counts)
         at = np.arange(len(self.starts)) - firsts[self.entry]
         self.own = at < part.column(1).to_numpy()[self.entry]
         self.rest = counts[self.entry] - at
-        self.weight = part.column(3).to_numpy()[self.entry]
-        seeds = np.array([zlib.crc32(lang.encode()) for lang in self.langs], np.uint64)
-        self.hashes = mix(word_hashes(raw, self.starts, self.ends) + seeds[self.entry])
+        self.weight = part.column(3).to_numpy()
+        self.lang = part.column(0).dictionary_encode()
+        seeds = np.array([zlib.crc32(lang.encode()) for lang in self.lang.dictionary.to_pylist()], np.uint64)
+        self.codes = self.lang.indices.to_numpy()
+        self.seeds = seeds[self.codes] if len(seeds) else np.zeros(0, np.uint64)
+
+    def hashes(self) -> np.ndarray:
+        return mix(word_hashes(self.raw, self.starts, self.ends) + self.seeds[self.entry])
 
     def pairs(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of each word with the next, and whether both lie in one entry and pass the filter of words."""
-        passed = _passes(words, self.hashes)
-        after = np.roll(self.hashes, -1)
-        return mix(self.hashes * np.uint64(0x9E3779B97F4A7C15) + after), passed & np.roll(passed, -1) & (self.rest >= 2)
+        hashes = self.hashes()
+        passed = _passes(words, hashes)
+        both = passed & np.roll(passed, -1) & (self.rest >= 2)
+        return mix(hashes * np.uint64(0x9E3779B97F4A7C15) + np.roll(hashes, -1)), both
+
+    def phrases(self, at: np.ndarray, size: int) -> pa.Table:
+        """(lang, phrase, words, a) of the runs of ``size`` words that start at the words ``at``."""
+        low, high = self.starts[at], self.ends[at + size - 1]
+        offsets = np.concatenate([[0], np.cumsum(high - low)])
+        # Each byte's place: the run's start plus how far into the run it is.
+        index = np.arange(offsets[-1]) + np.repeat(low - offsets[:-1], high - low)
+        phrases = pa.StringArray.from_buffers(
+            len(at), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(self.raw[index]))
+        entry = self.entry[at]
+        langs = pa.DictionaryArray.from_arrays(self.codes[entry], self.lang.dictionary).cast(pa.string())
+        return pa.table([langs, phrases, pa.array(np.full(len(at), size, np.int32)), pa.array(self.weight[entry])],
+                        names=["lang", "phrase", "words", "a"])
 
 
 def _word_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The hash of each word, as ``_Words`` has it; rows are entries of one word."""
-    for batch in batches:
-        for part in slices(batch, 2):
-            yield pa.record_batch([pa.array(_Words(part).hashes.view(np.int64))], names=["h"])
+    for part in small(batches, 2):
+        yield pa.record_batch([pa.array(_Words(part).hashes().view(np.int64))], names=["h"])
 
 
 def _pair_counts(words):
     def pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, weights, size = [], [], 0
-        for batch in batches:
-            for part in slices(batch, 2):
-                table = _Words(part)
-                hashes, both = table.pairs(words.value)
-                use = both & table.own
-                held.append(hashes[use])
-                weights.append(table.weight[use])
-                size += int(use.sum())
-                if size > HASHES:
-                    yield _hash_sums(held, weights)
-                    held, weights, size = [], [], 0
+        for part in small(batches, 2):
+            table = _Words(part)
+            hashes, both = table.pairs(words.value)
+            use = np.flatnonzero(both & table.own)
+            held.append(hashes[use])
+            weights.append(table.weight[table.entry[use]])
+            size += len(use)
+            if size > HASHES:
+                yield _hash_sums(held, weights)
+                held, weights, size = [], [], 0
         if size:
             yield _hash_sums(held, weights)
 
@@ -200,30 +236,17 @@ def _hash_sums(held: list[np.ndarray], weights: list[np.ndarray]) -> pa.RecordBa
 
 def _run_counts(words, pairs, longest: int):
     def run_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Counter()
-
-        def rows() -> pa.RecordBatch:
-            return _counted([(*key, n) for key, n in held.items()])
-
-        for batch in batches:
-            for part in slices(batch, 2):
-                table = _Words(part)
-                hashes, both = table.pairs(words.value)
-                joined = both & _passes(pairs.value, hashes)
-                run = joined & table.own
-                for size in range(2, longest + 1):
-                    if size > 2:
-                        run = run & np.roll(joined, 2 - size) & (table.rest >= size)
-                    at = np.flatnonzero(run)
-                    ends = table.ends[at + size - 1] if len(at) else at
-                    for k, start, end, n in zip(table.entry[at].tolist(), table.starts[at].tolist(), ends.tolist(),
-                                                table.weight[at].tolist()):
-                        held[table.langs[k], table.raw[start:end], size] += n
-                if len(held) > HELD:
-                    yield rows()
-                    held.clear()
-        if held:
-            yield rows()
+        sums = _Sums(["lang", "phrase", "words"], 4 * HELD)
+        for part in small(batches, 2):
+            table = _Words(part)
+            hashes, both = table.pairs(words.value)
+            joined = both & _passes(pairs.value, hashes)
+            run = joined & table.own
+            for size in range(2, longest + 1):
+                if size > 2:
+                    run = run & np.roll(joined, 2 - size) & (table.rest >= size)
+                yield from sums.add(table.phrases(np.flatnonzero(run), size))
+        yield from sums.rest()
 
     return run_counts
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,9 +50,9 @@ _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2**64."""
+    """Powers of an odd number and of its inverse, modulo 2**64, for at most ``ROUND_BYTES`` places."""
     if len(_POWERS[0]) < n:
-        size = 1 << (n - 1).bit_length()
+        size = min(1 << (n - 1).bit_length(), ROUND_BYTES)
         inverse = np.uint64(pow(int(_PRIME), -1, 2**64))
         for k, base in enumerate((_PRIME, inverse)):
             steps = np.full(size, base, np.uint64)
@@ -74,13 +77,38 @@ def word_spans(raw: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span, from prefix sums over the bytes."""
+    """A 64-bit hash of each span, from prefix sums over the bytes of some ``ROUND_BYTES`` at a time."""
     if not len(starts):
         return np.zeros(0, np.uint64)
+    if len(raw) < ROUND_BYTES:
+        return mix(_span_sums(raw, starts, ends))
+    out, first = np.empty(len(starts), np.uint64), 0
+    while first < len(starts):
+        low = int(starts[first])
+        last = max(first + 1, int(np.searchsorted(ends, low + ROUND_BYTES - 1, "right")))
+        if ends[first] - low < ROUND_BYTES:
+            out[first:last] = _span_sums(raw[low : ends[last - 1]], starts[first:last] - low, ends[first:last] - low)
+        else:
+            out[first] = _long_sum(raw[low : ends[first]])
+        first = last
+    return mix(out)
+
+
+def _span_sums(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     power, inverse = _powers(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts])
+    return (sums[ends] - sums[starts]) * inverse[starts]
+
+
+def _long_sum(raw: np.ndarray) -> np.uint64:
+    """The sum of one span that is longer than the tables of powers."""
+    total, size = 0, ROUND_BYTES - 1
+    for at in range(0, len(raw), size):
+        part = raw[at : at + size]
+        whole = np.array([0]), np.array([len(part)])
+        total += int(_span_sums(part, *whole)[0]) * pow(int(_PRIME), at, 2**64)
+    return np.uint64(total % 2**64)
 
 
 def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -131,3 +159,18 @@ def slices(batch, column: int, size: int = ROUND_BYTES):
         total += int(length)
     if first < len(lengths):
         yield batch.slice(first)
+
+
+def small(batches, column: int | str):
+    """The rows of Arrow batches in batches with up to ``ROUND_BYTES`` of text in a column.
+
+    What the work on them needed goes back to the system when they end: a Python worker serves many tasks, and what
+    each stage once needed would add up in it.
+    """
+    for batch in batches:
+        at = column if isinstance(column, int) else batch.schema.get_field_index(column)
+        yield from slices(batch, at)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

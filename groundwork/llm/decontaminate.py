@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import as_bytes, mix, rounds, run_hashes, word_hashes, word_spans
+from groundwork.llm.common import as_bytes, mix, rounds, run_hashes, small, word_hashes, word_spans
 
 # Words are runs of ASCII digits and letters and of everything beyond ASCII; A-Z count as a-z.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -162,7 +162,7 @@ def _scanner(shipped):
     def scanned(batches):
         names, states = shipped.value
         groups = [Windows.of(s) for s in states]
-        for batch in batches:
+        for batch in small(batches, "body"):
             hits, items = [], []
             before, already = batch.column("hit").to_pylist(), batch.column("items").to_pylist()
             for k, (hit, found) in enumerate(search(as_bytes(batch.column("body")), groups)):
@@ -188,7 +188,7 @@ def without_contaminated(docs: DataFrame, items: DataFrame, *, text_col: str = "
 def _sieve(shipped, at: int):
     def sieved(batches):
         groups = [Windows.of(s) for s in shipped.value[1]]
-        for batch in batches:
+        for batch in small(batches, at):
             clean = [not hit.any() for hit, _ in search(as_bytes(batch.column(at)), groups)]
             yield batch.filter(pa.array(clean, pa.bool_()))
 

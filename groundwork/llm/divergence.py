@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,7 +89,7 @@ def _group_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _share(count: Column, total: Column, size: Column, scale: int) -> Column:
     """1 + floor(scale * (count + 1) / (total + size)); null where nothing is counted."""
     high = F.lit(scale).cast("decimal(19,0)") * (count + 1).cast("decimal(19,0)")
-    return F.call_function("div", high, (total + size).cast("decimal(19,0)")) + 1
+    return F.call_function("div", high, F.nullif(total + size, F.lit(0)).cast("decimal(19,0)")) + 1
 
 
 def _apart(p: Column, q: Column) -> Column:
@@ -96,37 +97,46 @@ def _apart(p: Column, q: Column) -> Column:
 
 
 def _cell(key: tuple, table: pa.Table) -> pa.Table:
-    """Sums of a cell for each ordered pair of its sources, and the number of terms that either has."""
-    group, part, term, p, zero = (table.column(c).to_numpy() for c in ("gid", "part", "term_id", "p", "p_none"))
+    """Sums of a cell for each ordered pair of its sources, and the number of terms that either has.
+
+    Every source of the cell has a row without a term, its terms have one each.
+    """
+    group, part, p, zero = (table.column(c).to_numpy() for c in ("gid", "part", "p", "p_none"))
+    term = pc.fill_null(table.column("term_id"), -1).to_numpy()
     order = np.lexsort((term, group))
     group, part, term, p, zero = group[order], part[order], term[order], p[order], zero[order]
     terms, place = np.unique(term, return_inverse=True)
     low, high = (k.as_py() for k in key[-2:])
 
     def side(rows: np.ndarray) -> tuple:
-        ids, starts = np.unique(group[rows], return_index=True)
-        return ids, starts, place[rows], p[rows], zero[rows][starts]
+        """Sources, their share of a term they lack, the edges of their entries, and place and share of each entry."""
+        heads = rows[term[rows] < 0]
+        entries = rows[term[rows] >= 0]
+        edges = np.append(np.searchsorted(entries, heads), len(entries))
+        return group[heads], zero[heads], edges, place[entries], p[entries]
+
+    def summed(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(values)])
+        return total[edges[1:]] - total[edges[:-1]]
 
     sides = {k: side(np.flatnonzero(part == k)) for k in {low, high}}
     out = [], [], [], []
     for one, other in {(low, high), (high, low)}:
-        ids, starts, at, mine, none = sides[one]
-        their_ids, their_starts, their_at, theirs, their_none = sides[other]
-        if not len(ids) or not len(their_ids):
-            continue
+        ids, none, edges, at, mine = sides[one]
+        their_ids, their_none, their_edges, their_at, theirs = sides[other]
         dense = np.repeat(their_none[:, None], len(terms), axis=1)
-        dense[np.repeat(np.arange(len(their_ids)), np.diff([*their_starts, len(their_at)])), their_at] = theirs
-        for k, (begin, end) in enumerate(zip(starts, [*starts[1:], len(at)])):
+        dense[np.repeat(np.arange(len(their_ids)), np.diff(their_edges)), their_at] = theirs
+        for k, (begin, end) in enumerate(zip(edges, edges[1:])):
             q = dense[:, at[begin:end]]
-            value = ((mine[None, begin:end] - q) ** 2 // q).sum(axis=1)
             has = np.zeros(len(terms), bool)
             has[at[begin:end]] = True
             alone = ~has[their_at]
-            value += np.add.reduceat(np.where(alone, (none[k] - theirs) ** 2 // theirs, 0), their_starts)
-            met = np.add.reduceat(alone.astype(np.int64), their_starts) + (end - begin)
+            value = ((mine[None, begin:end] - q) ** 2 // q).sum(axis=1) + summed(
+                np.where(alone, (none[k] - theirs) ** 2 // theirs, 0), their_edges)
+            met = summed(alone.astype(np.int64), their_edges) + (end - begin)
             keep = their_ids != ids[k]
-            for column, part_of in zip(out, (np.full(keep.sum(), ids[k]), their_ids[keep], value[keep], met[keep])):
-                column.append(part_of)
+            for column, found in zip(out, (np.full(keep.sum(), ids[k]), their_ids[keep], value[keep], met[keep])):
+                column.append(found)
     columns = [np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64) for c in out]
     return pa.table(columns, names=["gid", "other", "value", "met"])
 
@@ -168,11 +178,16 @@ def audit(docs: DataFrame, *, by: str = "lang", group: str = "source", text_col:
         "lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _apart(F.col("p"), F.col("q")).alias("value"))
     words = words.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
 
-    parts = F.ceil(F.col("sources") / SOURCES).cast("int")
+    # Rows of a cell: each entry, and each source once more, as it may have none there.
     blocks = F.ceil(F.col("size") / TERMS).cast("long")
-    cells = used.select(
-        "lang", F.pmod(F.xxhash64("term_id"), blocks).alias("block"), "gid", "term_id", "p", "p_none",
-        F.pmod(F.xxhash64("gid"), parts).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("with"))
+    entries = used.select("lang", F.pmod(F.xxhash64("term_id"), blocks).alias("block"), "gid", "term_id", "p", "p_none", "sources")
+    heads = groups.where("size > 0").select(
+        "lang", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), "gid",
+        F.lit(None).cast("long").alias("term_id"), F.lit(0).cast("long").alias("p"), "p_none", "sources")
+    parts = F.ceil(F.col("sources") / SOURCES).cast("int")
+    cells = entries.unionByName(heads).select(
+        "lang", "block", "gid", "term_id", "p", "p_none", F.pmod(F.xxhash64("gid"), parts).cast("int").alias("part"),
+        F.explode(F.sequence(F.lit(0), parts - 1)).alias("with"))
     cells = cells.withColumn("low", F.least("part", "with")).withColumn("high", F.greatest("part", "with")).drop("with")
     met = cells.groupBy("lang", "block", "low", "high").applyInArrow(_cell, "gid long, other long, value long, met long")
     met = met.groupBy("gid", "other").agg(F.sum("value").alias("value"), F.sum("met").alias("met"))

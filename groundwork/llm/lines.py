@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from groundwork.llm import minhash
 from groundwork.llm.bloom import bloom_filter, may_hold
-from groundwork.llm.common import as_bytes, ident, mix, real_id, written
+from groundwork.llm.common import as_bytes, ident, mix, real_id, small, written
 from groundwork.llm.components import components
 
 SHINGLE = 10
@@ -132,7 +132,7 @@ def band_keys(lines: list[str]) -> np.ndarray:
 
 
 def _signed(batches):
-    for batch in batches:
+    for batch in small(batches, "line"):
         keys = band_keys(as_texts(batch.column("line")))
         yield pa.record_batch({"k1": batch.column("k1"), "k2": batch.column("k2"), "doc": batch.column("doc"),
                                **{c: pa.array(keys[:, j], mask=keys[:, j] == 0) for j, c in enumerate(BAND_COLUMNS)}})
@@ -204,7 +204,7 @@ def similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     def verified(batches):
         # A line that many others are compared with comes again and again.
         known = lru_cache(4)(shingle_set)
-        for batch in batches:
+        for batch in small(batches, "line_a"):
             sides = zip(as_texts(batch.column("line_a")), as_texts(batch.column("line_b")), strict=True)
             same = pa.array([_alike(known(x), shingle_set(y), least) for x, y in sides], pa.bool_())
             yield batch.select(["a", "b"]).filter(same)

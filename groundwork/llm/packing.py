@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import written
+from groundwork.llm.common import small, written
 
 # Rows that number the pieces of one length do so within this many shares, so no length is one task.
 SHARES = 512
@@ -173,7 +173,7 @@ def _pieces(path: str, capacity: int, end_id: int):
     def cut(batches):
         encoder = _encoder(path)
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in small(batches, "text"):
             rows = []
             for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = encoder.encode(text or "") + end

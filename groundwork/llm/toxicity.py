@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import written
+from groundwork.llm.common import small, written
 
 WORDS = re.compile(r"[^\W\d_]+").findall
 BITS = 22
@@ -119,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     sample = F.broadcast(written(chosen.union(mixed), "training-ids"))
 
     def features(batches):
-        for batch in batches:
+        for batch in small(batches, "body"):
             found = [sorted(text_features(t or "")) for t in batch.column("body").to_pylist()]
             yield pa.record_batch({"id": batch.column("id"), "positive": batch.column("positive"),
                                    "features": pa.array(found, pa.list_(pa.int32()))})
@@ -169,7 +169,7 @@ def score_texts(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_c
 
     def scored(batches):
         score = Model(*shipped.value).scorer()
-        for batch in batches:
+        for batch in small(batches, "body"):
             yield pa.record_batch({"id": batch.column("id"),
                                    "score": pa.array([score(t) for t in batch.column("body").to_pylist()], pa.float64())})
 
@@ -183,7 +183,7 @@ def without_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", thre
 
     def sieved(batches):
         score = Model(*shipped.value).scorer()
-        for batch in batches:
+        for batch in small(batches, at):
             yield batch.filter(pa.array([score(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(sieved, docs.schema)
