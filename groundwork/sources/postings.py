@@ -48,6 +48,7 @@ class TextIndex:
     def append(self, chunks: DataFrame) -> None:
         """Index chunks that are not indexed yet. Words shuffle once; folders of a common word are split by chunk."""
         batch = time.time_ns()
+        chunks.select("chunk_id", "document_id").limit(0).write.mode("ignore").parquet(f"{self.folder}/ids")
         tokens = tokens_of(chunks, self.stop_words).select(
             "*", term_bucket(self.buckets).alias("term_bucket"),
             F.pmod(F.xxhash64("chunk_id"), F.lit(self.parts)).alias("part"))
@@ -82,8 +83,18 @@ class TextIndex:
         return self._folders("terms", buckets).groupBy("term").agg(F.sum("chunks").alias("chunks"))
 
     def _read(self, name: str) -> DataFrame:
-        # The types of both ids are those of the indexed chunks; the files know them.
-        return self.spark.read.parquet(f"{self.folder}/{name}")
+        """A table of the index; one that holds no row yet has no files."""
+        ids = self.spark.read.parquet(f"{self.folder}/ids").schema  # the types of both ids are those of the chunks
+        kinds = {f.name: f.dataType.simpleString() for f in ids.fields}
+        schema = {"postings": f"term string, chunk_id {kinds['chunk_id']}, document_id {kinds['document_id']}, hits int, "
+                              "positions array<int>, batch long, term_bucket int",
+                  "terms": "term string, chunks long, hits long, term_bucket int"}[name]
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
 
     def _folders(self, name: str, buckets: Sequence[int] | None) -> DataFrame:
         rows = self._read(name)
