@@ -84,6 +84,12 @@ class Best:
         chosen = above | (level & (np.cumsum(level, axis=1) <= room))
         return np.nonzero(chosen)[1].reshape(len(scores), self.k)
 
+    def edge(self) -> np.ndarray:
+        """The ``k`` th best score of each question; minus infinity while there are fewer."""
+        if self.scores.shape[1] < self.k:
+            return np.full(len(self.scores), -np.inf)
+        return self.scores.min(axis=1)
+
     def rows(self, question_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(question, id, score) of what is held."""
         if self.ids is None:

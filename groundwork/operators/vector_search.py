@@ -1,4 +1,4 @@
-"""Nearest chunks by cosine: exact, and through cells.
+"""Nearest chunks by cosine: exact, and through a stored index.
 
 The exact search reads the chunk vectors once, where they lie. Each task multiplies its Arrow
 batches with the question vectors and hands on the best ``k`` per question; only those are
@@ -10,9 +10,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -20,18 +20,15 @@ from pyspark.sql import functions as F
 
 from groundwork.functions import vectors as vx
 from groundwork.operators.ranking import PAIRS, Askers, Best, visibility_class
-from groundwork.session import is_small, settle
+from groundwork.operators.scope import with_visibility
+from groundwork.session import is_small, scratch_dir, settle
+from groundwork.sources.vector_index import MEASURED, TARGET, VectorIndex, matrix_of
 
 CANDIDATES = 10
 
 # Questions that travel to every task: 4096 vectors of 768 floats are 12 MB.
 SHIPPED_QUESTIONS = 4096
 
-# Share of a sample's exact neighbours that the probed cells must hold: all questions are to reach 0.9.
-TARGET = 0.95
-SAMPLE_QUESTIONS = 256
-MOST_CELLS = 1024
-
 
 class Questions(Askers):
     """Question vectors of one task: ids, unit vectors, and what each one may see."""
@@ -171,39 +168,154 @@ def _meet_on_grid(
     return left.cogroup(right).applyInArrow(_nearest_in_group(k), _output_schema(stored, asked))
 
 
-def _cell_order(vectors: pd.Series, centers: np.ndarray) -> np.ndarray:
-    """The cells of each vector, nearest first."""
-    matrix = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
-    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
-    return np.argsort(-(matrix @ centers.T), axis=1, kind="stable").astype(np.int32)
+# -- through a stored index ------------------------------------------------------------------
 
 
-def _cell_finder(centers: np.ndarray, count: int):
-    @F.pandas_udf("array<int>")
-    def nearest(vectors: pd.Series) -> pd.Series:
-        return pd.Series(list(_cell_order(vectors, centers)[:, :count]))
+class _Probing:
+    """Question vectors of one task, the cells that each probes, and its similarity to every centre."""
 
-    return nearest
+    def __init__(self, table: pa.Table, centers: np.ndarray, probes: int):
+        self.questions = Questions(table)
+        self.to_center = self.questions.unit @ centers.T
+        order = np.argsort(-self.to_center, axis=1, kind="stable")[:, :probes]
+        self.probed = np.zeros(self.to_center.shape, bool)
+        np.put_along_axis(self.probed, order, True, axis=1)
 
 
-def _probes_for(
-    chunks: DataFrame, asked: DataFrame, dimensions: int, k: int, placed: DataFrame, centers: np.ndarray
-) -> int:
-    """The fewest cells that hold ``TARGET`` of the exact neighbours of a sample of the questions."""
-    sample = asked.orderBy(F.xxhash64("query_id")).limit(SAMPLE_QUESTIONS)
-    sample = settle(sample, "sample-questions")
-    order = sample.select("query_id", "embedding").toPandas().drop_duplicates("query_id")
-    if order.empty:
-        return 1
-    exact = vector_topk(chunks, sample, dimensions, k).select("query_id", "chunk_id")
-    cells = placed.groupBy("chunk_id").agg(F.min("_cell").alias("_cell"))
-    found = cells.join(F.broadcast(exact), "chunk_id").select("query_id", "_cell").toPandas()
-    if found.empty:
+# What the codes say is rounded to single precision; no similarity is off by more than this.
+ROUNDING = 1e-5
+
+
+def _open_pairs(shared, k: int, step: int):
+    """(question, chunk_id, cell, low, high): pairs that the codes of a task do not rule out, and bounds of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        probing, kind = shared.value, None
+        questions = probing.questions
+        unit = questions.unit.astype(np.float32)
+        held, best = [], Best(len(questions), k)
+        for whole in batches:
+            kind = whole.schema.field("chunk_id").type
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                raw = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.int8).reshape(batch.num_rows, -1)
+                cell, scale, off = (batch.column(c).to_numpy() for c in ("cell", "scale", "off"))
+                near = (unit @ raw.T.astype(np.float32)) * scale + probing.to_center[:, cell]
+                codes, seen = questions.masks(batch.column("class"))
+                allowed = probing.probed[:, cell] & seen[codes].T
+                low = np.where(allowed, near - off - ROUNDING, -np.inf)
+                # Numbers of rows stand for ids here: ties do not matter for a bound.
+                best.add(np.arange(batch.num_rows), low)
+                asked, row = np.nonzero(allowed & (near + off + ROUNDING >= best.edge()[:, None]))
+                held.append((asked, batch.column("chunk_id").take(pa.array(row)), cell[row], low[asked, row],
+                             (near + off + ROUNDING)[asked, row]))
+        if kind is None or not held:
+            return
+        edge = best.edge()
+        for asked, ids, cell, low, high in held:
+            keep = np.flatnonzero(high >= edge[asked])
+            yield pa.record_batch([pa.array(asked[keep], pa.int32()), ids.take(pa.array(keep)), pa.array(cell[keep], pa.int32()),
+                                   pa.array(low[keep]), pa.array(high[keep])], names=["question", "chunk_id", "cell", "low", "high"])
+
+    return run
+
+
+def _exact_pairs(shared, dimensions: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        questions = shared.value.questions
+        for batch in batches:
+            if batch.num_rows:
+                asked = batch.column("question").to_numpy()
+                unit = matrix_of(batch.column("embedding"), dimensions)
+                similarity = np.round(np.einsum("ij,ij->i", questions.unit[asked], unit), 12)
+                yield pa.record_batch([pa.array(questions.ids[asked]), batch.column("chunk_id"), pa.array(similarity)],
+                                      names=["query_id", "chunk_id", "similarity"])
+
+    return run
+
+
+def search_index(
+    index: VectorIndex,
+    questions: DataFrame,
+    visibility: DataFrame | None = None,
+    k: int = CANDIDATES,
+    probes: int | None = None,
+    group_rows: int = 4096,
+    question_rows: int = SHIPPED_QUESTIONS,
+) -> DataFrame:
+    """``query_id, chunk_id, similarity, rank``: the ``k`` nearest visible chunks of the cells closest to each question.
+
+    The codes of those cells give bounds for every similarity; a pair whose upper bound is under the ``k`` th best lower
+    bound of its question is out, the others are compared exactly. So what is found is exact within the probed cells,
+    and with all of them (``probes=0``) the same as ``vector_topk`` finds. Unless given, probes are as many as the index
+    was measured with. ``question_rows`` questions at a time are sent to the tasks.
+    """
+    asked = _asked(questions, index.dimensions)
+    blocks = max(1, -(-asked.count() // question_rows))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    found = [_search_block(index, asked.where(block == n), visibility, k, probes, group_rows) for n in range(blocks)]
+    return _best_overall(reduce(DataFrame.unionByName, found), k)
+
+
+def _search_block(index: VectorIndex, asked: DataFrame, visibility, k: int, probes: int | None, step: int) -> DataFrame:
+    spark, table, centers = index.spark, asked.toArrow(), index.centers()
+    stored = index.rows()
+    kinds = dict(stored.dtypes)
+    schema = f"query_id {dict(asked.dtypes)['query_id']}, chunk_id {kinds['chunk_id']}, similarity double"
+    if not table.num_rows:
+        return spark.createDataFrame([], schema)
+    probes = index.probes()[0] if probes is None else probes or len(centers)
+    probing = _Probing(table, centers, probes)
+    shared = spark.sparkContext.broadcast(probing)
+    rows = index.rows(np.flatnonzero(probing.probed.any(axis=0)).tolist())  # at most the number of cells
+    if visibility is not None:
+        kind = dict(visibility.dtypes)["subjects"].removeprefix("array<").removesuffix(">")
+        seen = with_visibility(rows.drop("subjects", "default_visible"), visibility, kind)
+    elif "subjects" in kinds:
+        seen = rows
+    else:
+        seen = rows.withColumn("subjects", F.array().cast("array<string>")).withColumn("default_visible", F.lit(True))
+    coded = seen.select("chunk_id", "cell", "code", "scale", "off", visibility_class().alias("class"))
+    pairs = coded.mapInArrow(_open_pairs(shared, k, step), f"question int, chunk_id {kinds['chunk_id']}, cell int, low double, high double")
+    pairs = settle(pairs, "open-pairs")
+    by_low = Window.partitionBy("question").orderBy(F.desc("low"))
+    edges = pairs.withColumn("n", F.row_number().over(by_low)).where(F.col("n") == k).select("question", F.col("low").alias("edge"))
+    open_pairs = pairs.join(edges, "question", "left").where(F.col("high") >= F.coalesce("edge", F.lit(float("-inf"))))
+    # Copies under one id are one row of the result.
+    open_pairs = open_pairs.select("question", "chunk_id", "cell").distinct()
+    met = rows.select("chunk_id", "cell", "embedding").join(open_pairs, ["cell", "chunk_id"])
+    return met.select("question", "chunk_id", "embedding").mapInArrow(_exact_pairs(shared, index.dimensions), schema)
+
+
+def measure_probes(index: VectorIndex, k: int = CANDIDATES, questions: DataFrame | None = None) -> int:
+    """Store the fewest cells that hold ``TARGET`` of the neighbours that an exact search finds for a sample.
+
+    The sample is of ``questions`` like those to come, else of stored vectors, whose own row does not count.
+    """
+    if questions is None:
+        asked = index.rows().select(F.col("chunk_id").alias("query_id"), "embedding")
+    else:
+        asked = _asked(questions, index.dimensions).select("query_id", "embedding")
+    sample = settle(asked.orderBy(F.xxhash64("query_id")).limit(MEASURED), "measured-vectors")
+    table, centers = sample.toArrow(), index.centers()
+    if not table.num_rows:
+        index.settle_probes(1, 1.0)
         return 1
-    ranks = np.argsort(_cell_order(order["embedding"], centers), axis=1)
-    row = pd.Series(np.arange(len(order)), index=order["query_id"])
-    at = np.sort(ranks[row[found["query_id"]].to_numpy(), found["_cell"].to_numpy()])
-    return int(at[int(np.ceil(TARGET * len(at))) - 1]) + 1
+    unit = matrix_of(table.column("embedding").combine_chunks(), index.dimensions)
+    rank_of = np.argsort(np.argsort(-(unit @ centers.T), axis=1, kind="stable"), axis=1)
+    # Everybody sees everything here.
+    everyone = index.spark.createDataFrame([], "document_id long, subjects array<string>, default_visible boolean")
+    found = search_index(index, sample, everyone if "document_id" in index.rows().columns else None,
+                         k + (questions is None), probes=0)
+    if questions is None:
+        found = found.where("query_id <> chunk_id")
+    cells = index.rows().select("chunk_id", "cell").join(F.broadcast(found.select("query_id", "chunk_id")), "chunk_id").toArrow()
+    place = {q: n for n, q in enumerate(table.column("query_id").to_pylist())}
+    rows = np.array([place[q] for q in cells.column("query_id").to_pylist()], int)
+    ranks = np.sort(rank_of[rows, cells.column("cell").to_numpy()]) if len(rows) else np.zeros(1, int)
+    probes = int(ranks[math.ceil(TARGET * len(ranks)) - 1]) + 1
+    index.settle_probes(probes, float((ranks < probes).mean()))
+    return probes
 
 
 def vector_topk_approx(
@@ -213,58 +325,13 @@ def vector_topk_approx(
     k: int = CANDIDATES,
     cells: int | None = None,
     probes: int | None = None,
-    group_rows: int = 20_000,
+    group_rows: int = 4096,
     question_rows: int = SHIPPED_QUESTIONS,
     seed: int = 42,
 ) -> DataFrame:
-    """The nearest chunks within the ``probes`` cells closest to each question.
-
-    Unless given, the number of cells grows with the square root of the table, and probes are as many as the exact
-    search says that a sample of the questions needs to find ``TARGET`` of its neighbours. Cells come from k-means over the chunk vectors. A cell is cut into parts of bounded size, so
-    that a crowded one (many copies of a text) is spread over tasks; every question block that
-    probes the cell visits all its parts.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import Normalizer
-    from pyspark.ml.functions import array_to_vector
-
-    stored, asked = _stored(chunks), _asked(questions, dimensions)
-    stored = stored.where(vx.is_usable(F.col("embedding"), dimensions))
-    raw = stored.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("raw"))
-    unit = Normalizer(inputCol="raw", outputCol="features").transform(raw).select("features")
-    unit = unit.persist()
-    if cells is None:
-        cells = min(MOST_CELLS, max(16, math.isqrt(unit.count()) // 2))
-    model = KMeans(k=cells, seed=seed, maxIter=10).fit(unit)
-    unit.unpersist()
-    centers = np.stack(model.clusterCenters())
-
-    # The cell table is the index: written once, then read by cell.
-    own = _cell_finder(centers, 1)
-    placed = settle(stored.withColumn("_cell", F.element_at(own("embedding"), 1)), "cells")
+    """``search_index`` for vectors that have no index yet: one is written to the shared folder first."""
+    index = VectorIndex(chunks.sparkSession, scratch_dir(chunks.sparkSession, "vector-index"), dimensions)
+    index.create(chunks, cells, seed)
     if probes is None:
-        probes = _probes_for(chunks, asked, dimensions, k, placed, centers)
-    parts = placed.groupBy("_cell").agg(
-        F.ceil(F.count(F.lit(1)) / group_rows).cast("int").alias("_parts")
-    )
-    placed = placed.join(F.broadcast(parts), "_cell")  # one row per cell
-    left = placed.withColumn(
-        "_part", F.pmod(F.xxhash64("chunk_id"), F.col("_parts")).cast("int")
-    ).drop("_parts")
-
-    blocks = F.lit(max(1, -(-asked.count() // question_rows)))
-    right = (
-        asked.withColumn("_cell", F.explode(_cell_finder(centers, probes)("embedding")))
-        .withColumn("_block", F.pmod(F.xxhash64("query_id"), blocks).cast("int"))
-        .join(F.broadcast(parts), "_cell")
-        .withColumn("_part", _all_up_to(F.col("_parts")))
-        .drop("_parts")
-    )
-    left = left.withColumn("_block", _all_up_to(blocks))
-    key = ["_cell", "_part", "_block"]
-    partial = (
-        left.groupBy(*key)
-        .cogroup(right.groupBy(*key))
-        .applyInArrow(_nearest_in_group(k), _output_schema(stored, asked))
-    )
-    return _best_overall(partial, k)
+        measure_probes(index, k, questions)
+    return search_index(index, questions, None, k, probes, group_rows, question_rows)

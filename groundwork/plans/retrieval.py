@@ -295,24 +295,31 @@ def visible_vectors(i: Inputs) -> DataFrame:
     )
 
 
-@query(
-    "vector_topk",
-    f"""SELECT query_id, chunk_id, round(similarity, 6) AS similarity, rank FROM (
+_NEAREST = f"""SELECT query_id, chunk_id, round(similarity, 6) AS similarity, rank FROM (
           SELECT query_id, chunk_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id)::INT AS rank
           FROM (SELECT e.vec_id AS query_id, c.chunk_id, {duck.cosine("e.embedding", "c.embedding")} AS similarity
                 FROM embeddings e LEFT JOIN scopes s ON s.query_id = e.vec_id
                 CROSS JOIN usable_vectors c LEFT JOIN doc_vis v ON v.document_id = c.document_id
                 WHERE CASE WHEN s.scope IS NULL THEN coalesce(v.default_visible, true)
-                           ELSE coalesce(list_has_any(v.subjects, s.scope), false) END)) WHERE rank <= 10""",
-    VIEWS | {"usable_vectors": f"SELECT * FROM vec_chunks WHERE {duck.usable('embedding')}"},
-)
+                           ELSE coalesce(list_has_any(v.subjects, s.scope), false) END)) WHERE rank <= 10"""
+_VECTOR_VIEWS = VIEWS | {"usable_vectors": f"SELECT * FROM vec_chunks WHERE {duck.usable('embedding')}"}
+
+
+@query("vector_topk", _NEAREST, _VECTOR_VIEWS)
 def vector_topk(i: Inputs) -> DataFrame:
     return vs.vector_topk(visible_vectors(i), vector_questions(i), DIMENSIONS)
 
 
 @query("vector_topk_approx")
 def vector_topk_approx(i: Inputs) -> DataFrame:
-    return vs.vector_topk_approx(visible_vectors(i), vector_questions(i), DIMENSIONS)
+    """Through the stored index, with the probes that its recall was measured with."""
+    return vs.search_index(stored.vector_index(i), vector_questions(i), visibility(i))
+
+
+@query("vector_topk_indexed", _NEAREST, _VECTOR_VIEWS)
+def vector_topk_indexed(i: Inputs) -> DataFrame:
+    """Through the stored index, all cells: the codes rule out, the vectors of what is left decide."""
+    return vs.search_index(stored.vector_index(i), vector_questions(i), visibility(i), probes=0)
 
 
 # -- fusion --------------------------------------------------------------------------------

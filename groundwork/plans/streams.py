@@ -13,6 +13,7 @@ from groundwork.plans.views import TABLES, Inputs
 from groundwork.session import scratch_dir
 from groundwork.sources import sinks
 from groundwork.streaming import ingest as streams
+from groundwork.streaming import registry
 
 HOUR = limits.HOUR
 CAPACITY, PERIOD = 3, 6 * HOUR
@@ -126,6 +127,39 @@ def incremental_ingest(i: Inputs) -> DataFrame:
     )
 
 
+_FILES = """SELECT document_id, file_hash, text, first_id, strategy FROM (
+    SELECT doc_id AS document_id, sha256(text) AS file_hash, text, min(doc_id) OVER (PARTITION BY text) AS first_id, '' AS strategy FROM documents)"""
+
+
+@query(
+    "register_uploads",
+    """SELECT round, document_id AS upload_id, first_id AS document_id,
+              CASE WHEN round = 2 THEN 'ALREADY_INDEXED' WHEN document_id = first_id THEN 'QUEUED' ELSE 'ALREADY_PROCESSING' END AS outcome,
+              CASE WHEN round = 1 AND document_id = first_id THEN 'CREATE' ELSE 'REUSE' END AS action, 'INDEXED' AS status,
+              (SELECT count(*) FROM (SELECT DISTINCT document_id, content FROM rec_chunks) c WHERE c.document_id = f.document_id AND f.document_id = f.first_id) AS chunks
+       FROM files f, (VALUES (1), (2)) AS rounds(round)""",
+    {
+        "files": _FILES,
+        "rec_text": f"SELECT doc_id AS document_id, {duck.trim('text')} AS t, length({duck.trim('text')}) AS n FROM documents",
+        "rec_text_w": windows_of("rec_text"),
+        "rec_chunks": numbered_windows("rec_text"),
+    },
+)
+def register_uploads(i: Inputs) -> DataFrame:
+    """All documents arrive as one file, then a second time: the copies and the second round add nothing."""
+    base = scratch_dir(i.spark, "registry")
+    for n in (1, 2):
+        # A file of the same content under another name is another file to the stream.
+        folder = f"{base}/in/round={n}"
+        i.documents.select("doc_id", "text").coalesce(4).write.parquet(folder)
+        registry.ingest_files(i.spark, f"{base}/in/round=*", "doc_id long, text string", f"{base}/out", id_col="doc_id", buckets=8).awaitTermination()
+    chunks = sinks.read_chunks(i.spark, f"{base}/out/chunks").groupBy("document_id").agg(F.count("*").alias("stored"))
+    found = registry.statuses(i.spark, f"{base}/out").withColumn("round", F.regexp_extract("path", "round=([0-9]+)", 1).cast("int"))
+    own = chunks.withColumnRenamed("document_id", "upload_id")
+    return found.join(own, "upload_id", "left").select(
+        "round", "upload_id", "document_id", "outcome", "action", "status", F.coalesce("stored", F.lit(0)).alias("chunks"))
+
+
 @query(
     "pending_work",
     "SELECT vec_id AS chunk_id, vec_id // 10 AS document_id FROM embeddings WHERE vec_id % 17 = 0",
