@@ -265,6 +265,61 @@ def status_asof(
     return merged.where(F.col("_kind") == 1).select("event_id", "client", "ts", "status")
 
 
+def status_cached(
+    requests: DataFrame, changes: DataFrame, ttl: int, bucket_width: int = HOUR
+) -> DataFrame:
+    """Requests ``event_id, client, ts`` with the ``status`` that a cache of ``ttl`` shows them.
+
+    ``changes(event_id, client, ts, status[, evicts])``. A request that finds no entry younger than ``ttl`` fills it
+    with the status of that time; later ones see that until it is too old or a change that ``evicts`` drops it (all do
+    unless the column says otherwise). A change at the time of a request comes first. Which requests fill is a chain,
+    each link the first request ``ttl`` after the one before; requests behind an eviction or a pause of ``ttl`` start
+    chains of their own. The links of all requests are found by one as-of pass and followed in steps that double, so
+    the number of rounds is the logarithm of the longest chain and no client is walked row by row. Event ids are unique.
+    """
+    evicts = F.col("evicts") if "evicts" in changes.columns else F.lit(True)
+    merged = requests.select("event_id", "client", "ts", F.lit(1).alias("_kind"), F.lit(False).alias("_evicts")).unionByName(
+        changes.select("event_id", "client", "ts", F.lit(0).alias("_kind"), F.coalesce(evicts, F.lit(False)).alias("_evicts")))
+    order, bucket = ["ts", "_kind", "event_id"], _time_bucket(bucket_width)
+    place = F.struct(*order)
+    merged = last_before(merged, ["client"], order, bucket, F.when(F.col("_kind") == 1, place), "_before")
+    merged = last_before(merged, ["client"], order, bucket, F.when(F.col("_evicts"), place), "_dropped")
+    starts = (F.col("_before").isNull() | (F.col("ts") - F.col("_before.ts") >= ttl)
+              | F.coalesce(F.col("_dropped") > F.col("_before"), F.lit(False)))
+    asked = merged.where("_kind = 1").select("event_id", "client", "ts", F.when(starts, F.col("event_id")).alias("_start"))
+    asked = settle(asked, "cache-requests")
+    chained = last_before(asked, ["client"], ["ts", "event_id"], bucket, F.col("_start"), "_chain")
+    chained = settle(chained.select("event_id", "client", "ts", F.coalesce("_start", "_chain").alias("_chain")), "cache-chains")
+
+    links = settle(_links(chained, ttl, bucket_width), "cache-links")
+    fills = settle(asked.where("_start IS NOT NULL").select("event_id"), "cache-fills")
+    while not links.isEmpty():
+        fills = settle(fills.union(fills.join(links, "event_id").select("to")), "cache-fills")
+        onward = links.select(F.col("event_id").alias("to"), F.col("to").alias("_onward"))
+        links = settle(links.join(onward, "to").select("event_id", F.col("_onward").alias("to")), "cache-links")
+
+    filling = asked.join(fills, "event_id", "left_semi").select("event_id", "client", "ts")
+    filled = status_asof(filling, changes, bucket_width).select("event_id", F.struct("status").alias("_entry"))
+    seen = asked.select("event_id", "client", "ts").join(filled, "event_id", "left")
+    seen = last_before(seen, ["client"], ["ts", "event_id"], bucket, F.col("_entry"), "_older")
+    return seen.select("event_id", "client", "ts", F.coalesce("_entry", "_older")["status"].alias("status"))
+
+
+def _links(chained: DataFrame, ttl: int, bucket_width: int) -> DataFrame:
+    """``event_id, to``: the first request of the same chain at least ``ttl`` after each, where there is one.
+
+    Time runs backwards here, so that the request that follows is the last one before.
+    """
+    keys = ["client", "_chain"]
+    rows = chained.select(*keys, "event_id", (-F.col("ts")).alias("_back"), F.lit(0).alias("_probe"), (-F.col("event_id")).alias("_id"))
+    probes = chained.select(
+        *keys, "event_id", (-F.col("ts") - ttl).alias("_back"), F.lit(1).alias("_probe"), (-F.col("event_id")).alias("_id"))
+    found = last_before(
+        rows.unionByName(probes), keys, ["_back", "_probe", "_id"], F.floor(F.col("_back") / bucket_width),
+        F.when(F.col("_probe") == 0, F.col("event_id")), "to")
+    return found.where("_probe = 1 AND to IS NOT NULL").select("event_id", "to")
+
+
 def is_end_marker(provider: Column, line: Column) -> Column:
     openai = line == "data: [DONE]"
     claude = F.contains(line, F.lit('"message_stop"'))

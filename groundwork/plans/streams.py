@@ -127,6 +127,40 @@ def incremental_ingest(i: Inputs) -> DataFrame:
     )
 
 
+TTL = 12 * HOUR
+
+
+@query(
+    "status_cached",
+    "SELECT event_id, client, ts, seen AS status FROM looked_up WHERE kind = 1",
+    {
+        "feed": """SELECT event_id, client, ts, CASE WHEN event_type IN ('purchase', 'signup') THEN 0 ELSE 1 END AS kind,
+                          event_type = 'signup' AS evicts,
+                          CASE event_type WHEN 'signup' THEN 'ACTIVE' WHEN 'purchase' THEN 'DISABLED' END AS status
+                   FROM requests""",
+        "feed_rows": "SELECT *, row_number() OVER (PARTITION BY client ORDER BY ts, kind, event_id) AS n FROM feed",
+        # Row by row: what is stored, what the cache holds and since when.
+        "looked_up": f"""
+            SELECT client, n - 1 AS n, NULL::BIGINT AS event_id, ts, 0 AS kind, NULL::STRING AS stored, NULL::STRING AS entry,
+                   NULL::BIGINT AS since, NULL::STRING AS seen FROM feed_rows WHERE n = 1
+            UNION ALL
+            SELECT r.client, r.n, r.event_id, r.ts, r.kind,
+                   CASE WHEN r.kind = 0 THEN r.status ELSE w.stored END,
+                   CASE WHEN r.kind = 1 AND coalesce(r.ts - w.since >= {TTL}, true) THEN w.stored ELSE w.entry END,
+                   CASE WHEN r.kind = 0 THEN CASE WHEN NOT r.evicts THEN w.since END
+                        WHEN coalesce(r.ts - w.since >= {TTL}, true) THEN r.ts ELSE w.since END,
+                   CASE WHEN r.kind = 1 THEN CASE WHEN coalesce(r.ts - w.since >= {TTL}, true) THEN w.stored ELSE w.entry END END
+            FROM looked_up w JOIN feed_rows r ON r.client = w.client AND r.n = w.n + 1""",
+    },
+)
+def status_cached(i: Inputs) -> DataFrame:
+    """The status that requests see through a cache; only switching an account on evicts its entry."""
+    is_change = F.col("event_type").isin("purchase", "signup")
+    status = F.when(F.col("event_type") == "signup", "ACTIVE").otherwise("DISABLED")
+    changes = i.requests.where(is_change).withColumn("status", status).withColumn("evicts", F.col("event_type") == "signup")
+    return limits.status_cached(i.requests.where(~is_change), changes, TTL, bucket_width=DAY)
+
+
 _FILES = """SELECT document_id, file_hash, text, first_id, strategy FROM (
     SELECT doc_id AS document_id, sha256(text) AS file_hash, text, min(doc_id) OVER (PARTITION BY text) AS first_id, '' AS strategy FROM documents)"""
 
