@@ -2,50 +2,83 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundwork.session import is_small, ship
+from groundwork.session import is_small, settle, ship
 
 
-def _runs(words: Column, length: int) -> Column:
-    """Keys of all runs of so many words; of no word there is one."""
-    last = F.greatest(F.size(words) - (length - 1), F.lit(1)) if length else F.lit(1)
-    return F.transform(F.sequence(F.lit(1), last), lambda at: F.concat_ws(
-        ":", F.lit(str(length)), F.array_join(F.slice(words, at, F.lit(length)), " ")))
+# Short passages that one pass over the documents looks for.
+SHORT_PASSAGES = 100_000
 
 
-def passages_in(passages: DataFrame, docs: DataFrame, run: int = 8) -> DataFrame:
+def passages_in(passages: DataFrame, docs: DataFrame) -> DataFrame:
     """``query_id, chunk_id``: the documents that contain a passage word for word.
 
-    The first ``run`` words of each passage meet the word runs of the documents in an equi-join;
-    only documents that share them are searched for the whole passage. The first word may start
-    inside a document's word and the last one end inside, so both are left out of the key. Shorter
-    passages have shorter keys; those of one or two words have an empty one, which every document has.
+    The first word of a passage may start inside a document's word and the last one end inside; those between are words
+    of the document. Each passage is looked for where its rarest word between is, so it meets few documents whatever
+    else it shares with them. Passages of one or two words have no word between: one automaton finds them all in the
+    scan. An empty passage is in every document, a null one or a null text in or with none.
     """
-    split = F.split("text", r"\s")
-    length = F.greatest(F.least(F.size(split) - 2, F.lit(run - 2)), F.lit(0))
-    keyed = passages.where("text IS NOT NULL").select(
-        F.col("item_id").alias("query_id"),
-        F.col("text").alias("_passage"),
-        length.alias("_length"),
-        F.concat_ws(":", length.cast("string"), F.array_join(F.slice(split, F.lit(2), length), " ")).alias("_run"),
-    )
-    # At most run - 1 lengths.
-    lengths = sorted(r["_length"] for r in keyed.select("_length").distinct().collect())
-    keyed = keyed.drop("_length")
-    keys = keyed.select("_run").distinct()
-    small = is_small(passages)
     words = F.split("text", r"\s")
-    runs = F.transform(
-        F.array(words),
-        lambda w: F.concat(F.array().cast("array<string>"), *[_runs(w, n) for n in lengths]),
-    )[0]
-    cut = docs.select(F.col("doc_id").alias("chunk_id"), F.explode(F.array_distinct(runs)).alias("_run"))
-    found = cut.join(ship(keys, small), "_run", "left_semi").join(ship(keyed, small), "_run")
-    texts = docs.select(F.col("doc_id").alias("chunk_id"), "text")
-    checked = texts.join(found, "chunk_id").where(F.contains("text", "_passage"))
-    return checked.select("query_id", "chunk_id").distinct()
+    between = F.filter(F.array_distinct(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))), lambda w: w != "")
+    asked = passages.where("text IS NOT NULL").select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("_passage"), between.alias("_between")).distinct()
+    asked = settle(asked, "passages")
+    spelled = asked.select("query_id", "_passage", F.size("_between").alias("_size"), F.explode("_between").alias("_word"))
+    used = spelled.select("_word").distinct()
+    rows = docs.where("text IS NOT NULL").select(F.col("doc_id").alias("chunk_id"), "text")
+    held = rows.select("chunk_id", F.explode(F.array_distinct(words)).alias("_word"))
+    held = settle(held.join(ship(used, is_small(used)), "_word", "left_semi"), "passage-words")
+    common = held.groupBy("_word").agg(F.count("*").alias("_docs"))
+    # A word between that no document has rules the passage out.
+    anchors = spelled.join(common, "_word").groupBy("query_id", "_passage", "_size").agg(
+        F.count("*").alias("_known"), F.min(F.struct("_docs", "_word"))["_word"].alias("_word")).where("_known = _size")
+    pairs = held.join(anchors.select("query_id", "_passage", "_word"), "_word").select("query_id", "_passage", "chunk_id")
+    long = rows.join(pairs.distinct(), "chunk_id").where(F.contains("text", "_passage")).select("query_id", "chunk_id")
+    return long.unionByName(_short_passages(asked.where(F.size("_between") == 0), rows)).distinct()
+
+
+def _short_passages(asked: DataFrame, rows: DataFrame) -> DataFrame:
+    kinds = dict(asked.dtypes) | dict(rows.dtypes)
+    schema = f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}"
+    blocks = -(-asked.count() // SHORT_PASSAGES)
+    block = F.pmod(F.xxhash64("query_id", "_passage"), F.lit(max(1, blocks)))
+    found = asked.sparkSession.createDataFrame([], schema)
+    for n in range(blocks):
+        some = asked.where(block == n).select("query_id", "_passage").toArrow()
+        shared = asked.sparkSession.sparkContext.broadcast(some)
+        found = found.unionByName(rows.mapInArrow(_holders(shared), schema))
+    return found
+
+
+def _holders(shared) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        asked = {}
+        for query, passage in zip(*(shared.value.column(c).to_pylist() for c in ("query_id", "_passage"))):
+            asked.setdefault(passage, []).append(query)
+        automaton = ahocorasick.Automaton()
+        for passage in filter(None, asked):
+            automaton.add_word(passage, passage)
+        if len(automaton):
+            automaton.make_automaton()
+        kind = shared.value.schema.field("query_id").type
+        for batch in batches:
+            queries, at = [], []
+            for n, text in enumerate(batch.column("text").to_pylist()):
+                held = {passage for _, passage in automaton.iter(text)} if len(automaton) and text else set()
+                for passage in held | ({""} & asked.keys()):
+                    queries += asked[passage]
+                    at += [n] * len(asked[passage])
+            yield pa.record_batch([pa.array(queries, kind), batch.column("chunk_id").take(pa.array(at, pa.int64()))],
+                                  names=["query_id", "chunk_id"])
+
+    return run
 
 
 def judge(questions: DataFrame, results: DataFrame, golden: DataFrame) -> DataFrame:
