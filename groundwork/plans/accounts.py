@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundwork.operators import accounts, catalog, quality
+from groundwork.operators import accounts, catalog, identities, quality
 from groundwork.operators.scope import active_subjects as active_only
 from groundwork.plans import duck
 from groundwork.plans.registry import query
@@ -192,6 +192,44 @@ def apply_identities(i: Inputs) -> DataFrame:
     return accounts.apply_identities(i.users, accounts.merge_identities(i.users, i.logins))
 
 
+# Login by login, with all accounts as two lists: e-mails, and the subjects bound to them.
+REPLAY_VIEWS = {
+    "in_order": """SELECT *, row_number() OVER (ORDER BY ts, login_id) AS n FROM logins
+                   WHERE ext_subject IS NOT NULL AND trim(ext_subject) <> '' AND email IS NOT NULL AND trim(email) <> ''""",
+    "replayed": """
+        SELECT 0::BIGINT AS n, NULL::BIGINT AS login_id, NULL::STRING AS action, NULL::STRING AS reason,
+               list(email ORDER BY user_id) AS emails, list(ext_subject ORDER BY user_id) AS subs FROM users
+        UNION ALL
+        SELECT n, login_id, CASE WHEN reason IS NOT NULL THEN 'REJECT' WHEN emails[s] = email THEN 'KEEP' WHEN s > 0 THEN 'CHANGE_EMAIL'
+                                 WHEN e > 0 THEN 'BIND' ELSE 'INSERT' END, reason,
+               CASE WHEN reason IS NOT NULL OR (s = 0 AND e > 0) OR emails[s] = email THEN emails
+                    WHEN s > 0 THEN list_concat(list_append(emails[1:s - 1], email), emails[s + 1:]) ELSE list_append(emails, email) END,
+               CASE WHEN reason IS NOT NULL OR s > 0 THEN subs
+                    WHEN e > 0 THEN list_concat(list_append(subs[1:e - 1], sub), subs[e + 1:]) ELSE list_append(subs, sub) END
+        FROM (SELECT *, CASE WHEN s > 0 AND emails[s] <> email AND e > 0 THEN 'EMAIL_OF_OTHER_ACCOUNT'
+                             WHEN s = 0 AND e > 0 AND subs[e] IS NOT NULL THEN 'BOUND_TO_OTHER_SUBJECT' END AS reason
+              FROM (SELECT l.n, l.login_id, l.email, l.ext_subject AS sub, r.emails, r.subs,
+                           coalesce(list_position(r.subs, l.ext_subject), 0) AS s, coalesce(list_position(r.emails, l.email), 0) AS e
+                    FROM replayed r JOIN in_order l ON l.n = r.n + 1))""",
+}
+
+
+@query("replay_logins", "SELECT login_id, action, reason FROM replayed WHERE n > 0", REPLAY_VIEWS)
+def replay_logins(i: Inputs) -> DataFrame:
+    return identities.replay_logins(i.users, i.logins).select("login_id", "action", "reason")
+
+
+@query(
+    "accounts_after",
+    """SELECT email, ext_subject FROM (SELECT unnest(emails) AS email, unnest(subs) AS ext_subject
+       FROM replayed WHERE n = (SELECT count(*) FROM in_order))""",
+    REPLAY_VIEWS,
+)
+def accounts_after(i: Inputs) -> DataFrame:
+    judged = identities.replay_logins(i.users, i.logins)
+    return identities.accounts_after(i.users, judged).select("email", "ext_subject")
+
+
 _DOMAINS = ["household.example", "machinery.example", "building.example"]
 
 
