@@ -147,7 +147,8 @@ VIEWS |= {
           SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id)::INT AS rank FROM (
             SELECT q.query_id, v.chunk_id, {duck.cosine("q.embedding", "v.embedding")} AS similarity
             FROM query_vectors q JOIN seen s ON s.query_id = q.query_id
-            JOIN titled_vectors v ON v.chunk_id = s.document_id)) WHERE rank <= 10""",
+            JOIN chunk_docs c ON c.document_id = s.document_id
+            JOIN titled_vectors v ON v.chunk_id = c.chunk_id)) WHERE rank <= 10""",
     "fused": """
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_rank NULLS LAST, text_rank)::INT AS rank FROM (
           SELECT coalesce(v.query_id, t.query_id) AS query_id, coalesce(v.chunk_id, t.chunk_id) AS chunk_id,
@@ -260,7 +261,7 @@ def term_overlap_score(i: Inputs) -> DataFrame:
               FROM scanned WHERE lexical_score > 0) WHERE rank <= 10""",
     VIEWS
     | {
-        "seen_pairs": "SELECT query_id, document_id AS chunk_id FROM seen",
+        "seen_pairs": "SELECT s.query_id, c.chunk_id FROM seen s JOIN chunk_docs c ON c.document_id = s.document_id",
         "scanned": overlap("seen_pairs"),
     },
 )
@@ -369,13 +370,13 @@ def hybrid_search(i: Inputs) -> DataFrame:
              LEFT JOIN text_results r ON r.query_id = q.query_id GROUP BY q.query_id)""",
     VIEWS
     | {
-        "golden": """SELECT b.item_id AS query_id, d.doc_id AS chunk_id FROM benchmark b
-                     JOIN documents d ON contains(d.text, b.text)"""
+        "golden": """SELECT b.item_id AS query_id, c.chunk_id FROM benchmark b
+                     JOIN chunk_docs c ON contains(c.content, b.text)"""
     },
 )
 def retrieval_eval(i: Inputs) -> DataFrame:
     results = search.hybrid_search(
         scoped_questions(i), i.chunk_docs, WORDS, visibility(i), index=stored.text_index(i))
-    return evaluation.summarize(
-        evaluation.judge(i.bench_queries, results, evaluation.passages_in(i.benchmark, i.documents)), 4
-    )
+    texts = i.chunk_docs.select(F.col("chunk_id").alias("doc_id"), F.col("content").alias("text"))
+    golden = evaluation.passages_in(i.benchmark, texts)
+    return evaluation.summarize(evaluation.judge(i.bench_queries, results, golden), 4)

@@ -112,10 +112,14 @@ def _bench_queries(d):
 
 
 def _chunk_docs(d):
-    return """
-    SELECT doc_id AS chunk_id, doc_id AS document_id, 1 AS sequence_number,
-           source || '-' || CAST(doc_id AS STRING) AS title, text AS content
-    FROM documents"""
+    # Two chunks for longer documents, so that chunks of one document compete and share its visibility.
+    title = "source || '-' || CAST(doc_id AS STRING) AS title"
+    return f"""
+    SELECT doc_id * 2 AS chunk_id, doc_id AS document_id, 1 AS sequence_number, {title}, substr(text, 1, 2000) AS content
+    FROM documents
+    UNION ALL
+    SELECT doc_id * 2 + 1 AS chunk_id, doc_id AS document_id, 2 AS sequence_number, {title}, substr(text, 2001) AS content
+    FROM documents WHERE length(text) > 2000"""
 
 
 def _line_chunks(d):
