@@ -40,6 +40,22 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(ident(id_col).alias("doc"), F.xxhash64(text).alias("print"), text.alias("text"))
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, rows: int) -> DataFrame:
+    """``left`` joined with ``right``, which has one row per ``key``; no task gets all rows of one frequent key.
+
+    ``rows`` is the number of rows of ``left``, or more. Keys with over a thousandth of them are at most a thousand
+    whatever the input, so these keys alone are broadcast: their rows are dealt by ``by``, and their row of ``right``
+    is repeated for each part.
+    """
+    most = max(64, rows // 1000)
+    hot = left.groupBy(key).count().where(F.col("count") > most).select(
+        key, F.ceil(F.col("count") / most).cast("int").alias("__parts"))
+    parts = F.coalesce(F.col("__parts"), F.lit(1))
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn("__part", F.pmod(F.xxhash64(by), parts).cast("int"))
+    copies = right.join(F.broadcast(hot), key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.drop("__parts").join(copies.drop("__parts"), [key, "__part"]).drop("__part")
+
+
 # -- words as spans of bytes ---------------------------------------------------------------------
 
 SPACE = np.zeros(256, bool)

@@ -10,8 +10,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from groundwork.llm import (
-    bloom, components, decontaminate, licenses, lines, near, neighbours, packing, pii, queries, simhash, substring, toxicity,
-    urls)
+    bloom, common, components, decontaminate, licenses, lines, near, neighbours, packing, pii, queries, simhash, substring,
+    toxicity, urls)
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -212,6 +212,52 @@ def test_near_dedup_stage_drops_near_copies(spark):
     assert rows(corpus_pipeline.near_dedup_stage(spark, docs, SF), "doc_id") == [(0,), (9,)]
 
 
+def test_near_copies_of_documents_with_common_boilerplate(spark, monkeypatch):
+    """Dissimilar texts that share most of their words meet in bands, but few of their pairs move any set."""
+    compared = []
+    links = near._links
+    monkeypatch.setattr(near, "_links", lambda pairs, *more: compared.append(pairs.count()) or links(pairs, *more))
+    shared = [f"w{k}" for k in range(200)]
+    made = [" ".join(shared + [f"x{n}y{k}" for k in range(120)]) for n in range(400)]
+    made += [made[0].replace("x0y7 ", "z ")]
+    kept = near.without_near_copies(frame(spark, list(enumerate(made))))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(400))
+    assert sum(compared) < 4 * len(made)
+
+
+def test_sketches_refuse_no_similar_pair(spark):
+    """Pairs at the least similarity, whatever their size, pass the test by sketches."""
+    rng = np.random.default_rng(3)
+    made, pairs = [], []
+    for n in [1, 4, 8, 40, 400] * 40:
+        both = rng.integers(0, 2**63, n).astype(np.uint64)
+        extra = rng.integers(0, 2**63, n // 4).astype(np.uint64)
+        pairs.append((len(made), len(made) + 1))
+        made += [np.unique(both), np.unique(np.concatenate([both, extra]))]
+    lowest = np.array([(s[:, None] * near._BY[None, :]).min(axis=0) for s in made])
+    sketch = np.ascontiguousarray(lowest.astype(np.uint8)).view(np.int64)
+    data = [(len(made[x]), len(made[y]), *map(int, sketch[x]), *map(int, sketch[y])) for x, y in pairs]
+    names = [f"{c}_{side}" for side in "xy" for c in near.SKETCH]
+    table = spark.createDataFrame(data, ["size_x", "size_y", *names])
+    assert table.where(near._likely(0.8)).count() == len(pairs)
+    assert table.where(near._likely(0.99)).count() < len(pairs)
+
+
+def test_components_of_hubs(spark):
+    """Two stars, one around the largest and one around the smallest node, tied by one edge."""
+    edges = [(10_000, k) for k in range(1, 400)] + [(0, 20_000 + k) for k in range(400)] + [(20_000, 399)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert set(got.values()) == {0} and len(got) == 400 + 401
+
+
+def test_spread_join_repeats_and_loses_nothing(spark):
+    left = spark.createDataFrame([(1 if k < 500 else k, k) for k in range(700)] + [(None, 5)], "key int, n int")
+    right = spark.createDataFrame([(k, str(k)) for k in range(650)] + [(None, "none")], "key int, name string")
+    got = common.spread_join(left, right, "key", "n", left.count())
+    assert got.columns == ["key", "n", "name"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(right, "key").collect()))
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 500), (None, 3), (700, 600)], "a int, b int")
     got = {r.node: r.root for r in components.components(edges).collect()}
