@@ -23,8 +23,8 @@ NEAR = 48
 class Kind(NamedTuple):
     """``pattern`` proposes, ``confirm`` is a condition on the match, ``score`` is what the match alone is worth.
 
-    A match stays if its score, plus 0.4 if a context word is near, reaches 0.5. ``needs`` is a substring that every
-    text with a match has.
+    A match with a score below 1 stays if it, plus 0.4 if a word of ``context`` is near and less 0.4 if one of
+    ``against`` is, reaches 0.5. ``needs`` is a substring, ``hint`` a pattern, that every text with a match has.
     """
 
     name: str
@@ -33,6 +33,8 @@ class Kind(NamedTuple):
     score: float = 1.0
     context: str = ""
     needs: str = ""
+    against: str = ""
+    hint: str = ""
 
 
 def digits(match: Column) -> Column:
@@ -101,6 +103,38 @@ def is_national_number(match: Column) -> Column:
     return ~match.rlike("^(000|666|9)") & ~match.rlike("-00-") & ~match.rlike("0000$")
 
 
+def is_routing_number(match: Column) -> Column:
+    """Weights 3, 7, 1 over nine digits give a multiple of ten; the first two digits name a district or a use."""
+    values = F.transform(F.split(match, ""), lambda d: d.cast("int"))
+    total = F.aggregate(F.transform(values, lambda d, k: d * F.when(k % 3 == 0, 3).when(k % 3 == 1, 7).otherwise(1)),
+                        F.lit(0), lambda a, d: a + d)
+    return match.rlike("^(0[0-9]|1[0-2]|2[1-9]|3[0-2]|6[1-9]|7[0-2]|80)") & (total % 10 == 0)
+
+
+def is_dni(match: Column) -> Column:
+    """The letter stands for the number modulo 23; X, Y and Z in front stand for 0, 1 and 2."""
+    number = F.translate(F.substring(match, 1, 8), "XYZ", "012").cast("int")
+    return F.substring(F.lit(DNI_LETTERS), number % 23 + 1, F.lit(1)) == F.substring(match, 9, 1)
+
+
+def is_random(match: Column) -> Column:
+    """Letters and digits, at least six different ones, and not one character for most of it."""
+    return match.rlike("[A-Za-z]") & match.rlike("[0-9]") & (
+        F.size(F.array_distinct(F.split(match, ""))) >= F.least(F.lit(8), F.floor(F.length(match) / 2) + 2))
+
+
+# The letters of Spanish identity numbers by remainder.
+DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
+# Words that say that what stands nearby is nobody's.
+MADE_UP = r"\b(example|sample|dummy|placeholder|fake|changeme|fictitious)\b"
+# A name under which secrets are kept, and what stands between it and its value.
+NAMED = (r"""(?:pass(?:word|wd|phrase)|pwd|secret|token|(?:api|access|private|secret|auth)[_-]?key|credentials?)"""
+         r"""["']{0,1}\s{0,3}[=:]\s{0,3}["']{0,1}""")
+VALUE = "[A-Za-z0-9_./+~-]"
+# Forms of keys that can be told without a name.
+KEY_FORMS = [r"(?:AKIA|ASIA)[0-9A-Z]{16}", r"gh[pousr]_[A-Za-z0-9]{36}", r"xox[abprs]-[A-Za-z0-9-]{10,}+",
+             r"AIza[A-Za-z0-9_-]{35}", r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"]
+
 # Group repetitions are possessive, which changes no match here and needs no stack for long ones. A match can only
 # begin where a run of its first characters does, or where the match before it ended.
 BASE = [
@@ -111,9 +145,18 @@ BASE = [
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", is_phone, needs="+"),
 ]
 ADDED = [
-    Kind("iban", iban_pattern(), is_iban, 0.6, "iban|account|konto|compte|cuenta|bank"),
+    Kind("iban", iban_pattern(), is_iban, 0.6, "iban|account|konto|compte|cuenta|bank", against=MADE_UP),
     Kind("national", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", is_national_number, 0.2,
-         r"ssn|social security|\bid\b|taxpayer", needs="-"),
+         r"ssn|social security|\bid\b|taxpayer", needs="-", against=MADE_UP),
+    Kind("routing", r"(?<![A-Za-z0-9.-])[0-9]{9}(?![A-Za-z0-9-])", is_routing_number, 0.2, r"routing|\baba\b|\brtn\b",
+         against=MADE_UP),
+    Kind("dni", r"(?<![A-Za-z0-9])(?:[0-9]{8}|[XYZ][0-9]{7})[A-Z](?![A-Za-z0-9])", is_dni, 0.4,
+         r"\b(dni|nie|nif|documento|identidad)\b", against=MADE_UP),
+    # Only the value is the span. A run of its characters is looked at once, where it begins.
+    Kind("secret", rf"(?<=[=:\"'\s])(?={VALUE}{{8}})(?<=(?i:{NAMED})){VALUE}{{8,}}+", is_random, 0.6,
+         r"password|login|credential|secret|bearer", against=MADE_UP, hint=rf"(?i){NAMED}"),
+    Kind("key", rf"(?<![A-Za-z0-9_-])(?:{'|'.join(KEY_FORMS)})(?![A-Za-z0-9_-])", is_random, 0.8,
+         r"password|login|credential|secret|bearer", against=MADE_UP, hint="AKIA|ASIA|gh[pousr]_|xox[abprs]-|AIza|eyJ"),
 ]
 
 
@@ -154,13 +197,16 @@ def spans_of(text: Column, kind: Kind) -> Column:
         if kind.score < 1.0:
             around = lambda r: F.substring(text, F.greatest(r["start"] - NEAR, F.lit(0)) + 1,
                                            r["end"] - r["start"] + 2 * NEAR)
-            good = F.filter(good, lambda r: F.lit(kind.score) + F.when(
-                F.lower(around(r)).rlike(kind.context), 0.4).otherwise(0.0) >= 0.5)
+            good = F.filter(good, lambda r: bind(F.lower(around(r)), lambda near: F.lit(kind.score) + F.when(
+                near.rlike(kind.context), 0.4).otherwise(0.0) - F.when(
+                near.rlike(kind.against or "$^"), 0.4).otherwise(0.0) >= 0.5 - 1e-9))
         return F.transform(good, lambda r: F.struct(F.lit(kind.name).alias("kind"), r["start"].cast("int").alias("start"),
                                                     r["end"].cast("int").alias("end")))
 
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    worth = text.contains(kind.needs) if kind.needs else text.rlike("[0-9]")
+    worth = text.contains(kind.needs) if kind.needs else text.rlike(kind.hint or "[0-9]")
+    if kind.score < 0.5:
+        worth = worth & F.lower(text).rlike(kind.context)
     return F.when(worth, found(text)).otherwise(none)
 
 
@@ -172,7 +218,9 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """One row per row of ``docs``: id, one array of spans per kind, ``base`` and ``spans`` (all, as kind:start:end).
 
     Matches of one kind are leftmost and do not overlap; those that a validator refuses are dropped without another
-    try. A null text is empty and has none. Repeated rows are judged each.
+    try. Spans of different kinds may overlap: what is a key by its form and stands behind a name is told twice. A null
+    text is empty and has none; an empty table gives an empty one. Repeated rows are judged each. Texts of any length
+    are read whole, and columns other than the two are left alone, whatever their names.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("body"))

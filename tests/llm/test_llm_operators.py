@@ -305,6 +305,51 @@ def test_pii_added_spans_need_checksum_or_context(spark):
     assert found[3] == "national:4:15" and found[4] == found[5] == ""
 
 
+def added(spark, made):
+    """For each text the added spans as (kind, what it covers)."""
+    found = {r.doc_id: r.spans for r in pii.find_personal_data(frame(spark, list(enumerate(made)))).collect()}
+    kinds = {k.name for k in pii.ADDED}
+    return [[(kind, text[int(a) : int(b)]) for kind, a, b in (s.split(":") for s in found[k].split(",") if s)
+             if kind in kinds] for k, text in enumerate(made)]
+
+
+def test_pii_secrets_behind_names(spark):
+    long_hex = hashlib.sha1(b"x").hexdigest()
+    made = [f'token = "{long_hex}" and more', "password=b7db7aa4a5fcc78305 next", "API_KEY: 'aB3-x9Q7.zz01'", "password=hunter",
+            "password: correcthorsebattery", "the token ring has 12345678abc", "pwd=aaaaaaaa1", f"digest {long_hex}", "password=" + "1a" * 20,
+            f"my_secret={long_hex}tail", "an example: password=b7db7aa4a5fcc78305", "token=" + "k3J9x0Qz" * 20_000]
+    got = added(spark, made)
+    assert got[:3] == [[("secret", long_hex)], [("secret", "b7db7aa4a5fcc78305")], [("secret", "aB3-x9Q7.zz01")]]
+    assert got[3:9] == [[]] * 6
+    assert got[9] == [("secret", long_hex + "tail")] and got[11] == [("secret", made[11][6:])]
+    # A word that says so lowers the score; one that speaks of logins raises it again, and the name itself is one.
+    assert got[10] == [("secret", "b7db7aa4a5fcc78305")]
+    assert added(spark, ["dummy token=b7db7aa4a5fcc78305", "dummy login token=b7db7aa4a5fcc78305"]) == [
+        [], [("secret", "b7db7aa4a5fcc78305")]]
+
+
+def test_pii_keys_by_form(spark):
+    key, hub = "AKIA" + "Q3EGRX7T2PLM9KZA", "ghp_" + "a1B2c3D4e5F6" * 3
+    assert added(spark, [f"id {key},", f"x{key}", key[:-1], f"use {hub} now", f"fake key {key}"]) == [
+        [("key", key)], [], [], [("key", hub)], []]
+
+
+def test_pii_context_raises_and_lowers(spark):
+    iban, routing, dni = "DE89370400440532013000", "021000021", "12345678Z"
+    assert added(spark, [f"sample {iban}", f"sample account {iban}", iban, f"routing {routing}", routing, "routing 021000022",
+                         f"dni {dni}", dni, "dni 12345678A", "nie X1234567L", f"example dni {dni}"]) == [
+        [], [("iban", iban)], [("iban", iban)], [("routing", routing)], [], [], [("dni", dni)], [], [],
+        [("dni", "X1234567L")], []]
+
+
+def test_pii_odd_rows_and_no_rows(spark):
+    docs = odd(spark)
+    found = pii.find_personal_data(docs)
+    assert found.count() == docs.count() and {r.spans for r in found.collect()} == {""}
+    assert pii.find_personal_data(docs.limit(0)).count() == 0
+    assert [r.spans for r in pii.find_personal_data(frame(spark, [(1, "a@b.c")] * 2)).collect()] == ["email:0:5"] * 2
+
+
 def test_ibans_end_where_their_country_says(spark):
     compact, spaced = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
     made = [f"IBAN {compact} BIC COBADEFFXXX", f"{spaced} A note", f"{spaced} 12 May", f"{compact} 250 EUR", f"pay {spaced} EUR 5",
