@@ -16,7 +16,7 @@ from groundwork.sources import sinks
 
 
 def watch(spark: SparkSession, folder: str, schema: str, glob: str = "*", per_run: int = 1000) -> DataFrame:
-    """Parquet files of a folder as they arrive."""
+    """Parquet files of a folder as they arrive. ``glob`` selects by the names of the files, not of folders above them."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     return reader.option("maxFilesPerTrigger", per_run).parquet(folder)
 
