@@ -137,7 +137,8 @@ def ask_questions(i: Inputs) -> DataFrame:
 # -- conversations -------------------------------------------------------------------------
 
 # Openings in the languages of the fixtures; what stands first in many of their sentences.
-_OPENING = r"^(?:and|what|et|y|und|the|le|la|el|de|que|der|die)\b"
+_OPENS = "^(?:and|what|et|y|und|the|le|la|el|de|que|der|die)"
+_OPENING = _OPENS + r"\b"
 
 
 @query(
@@ -151,7 +152,7 @@ _OPENING = r"^(?:and|what|et|y|und|the|le|la|el|de|que|der|die)\b"
         WHERE role = 'user'""",
 )
 def rewrite_followups(i: Inputs) -> DataFrame:
-    return chat.rewrite_followups(i.conversations, f"(?i){_OPENING}", bucket_width=3)
+    return chat.rewrite_followups(i.conversations, f"(?i){_OPENS}{lex.WORD_END}", bucket_width=3)
 
 
 @query(
@@ -164,7 +165,7 @@ def rewrite_followups(i: Inputs) -> DataFrame:
 )
 def screen_questions(i: Inputs) -> DataFrame:
     questions = i.documents.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
-    screened = chat.screen_questions(questions, injection=r"(?i)\bthe\s+and\b|<script[\s>]")
+    screened = chat.screen_questions(questions, injection=rf"(?i){lex.WORD_START}the\s+and{lex.WORD_END}|<script[\s>]")
     return screened.select("query_id", "verdict")
 
 
