@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +105,25 @@ def test_an_empty_table_makes_an_index_that_finds_nothing(spark, table, asked):
     made.append(table.where("chunk_id = 7"))
     assert [r.chunk_id for r in vs.search_index(made, asked.where("query_id = 3").drop("scope"), probes=0).collect()] == [7]
     assert vs.search_index(made, asked.where("false"), probes=0).count() == 0
+
+
+def test_few_pairs_are_multiplied_in_full(monkeypatch):
+    """Of 200 questions and 8,000 chunks the short products leave few pairs, and these hold the exact best."""
+    rng = np.random.default_rng(3)
+    chunks, asked = rng.normal(size=(8000, 16)), rng.normal(size=(200, 16))
+    chunks[5000:5200] = chunks[0]
+    counted, real = [], vs.cosines
+    monkeypatch.setattr(vs, "cosines", lambda *a: counted.append(len(a[2])) or real(*a))
+    monkeypatch.setattr(vs, "PAIRS", 200 * 500)
+    questions = vs.Questions(pa.table({
+        "query_id": pa.array(range(200)), "embedding": asked.tolist(), "scope": pa.array([None] * 200, pa.list_(pa.string()))}))
+    nearest = vs.Nearest(questions, 10)
+    for at in range(0, 8000, 1000):
+        nearest.add(pa.record_batch({
+            "chunk_id": pa.array(range(at, at + 1000)), "embedding": chunks[at : at + 1000].tolist(),
+            "class": pa.array(['{"d":true,"s":[]}'] * 1000)}))
+    found = nearest.table(pa.int64()).to_pandas().groupby("query_id")["chunk_id"].agg(list)
+    unit = [x / np.linalg.norm(x, axis=1, keepdims=True) for x in (asked, chunks)]
+    exact = np.round(unit[0] @ unit[1].T, 12)
+    assert [found[q] for q in range(200)] == [np.lexsort((np.arange(8000), -exact[q]))[:10].tolist() for q in range(200)]
+    assert sum(counted) < 200 * 8000 / 8
