@@ -12,7 +12,7 @@ from groundwork.operators.ordered import number_rows
 from groundwork.plans import duck
 from groundwork.plans.registry import query
 from groundwork.plans.views import Inputs
-from groundwork.session import scratch_dir
+from groundwork.session import scratch_dir, settle
 from groundwork.sources import files, sinks
 from groundwork.sources.tables import scan
 
@@ -92,7 +92,7 @@ REC_VIEWS["rec_chunks"] = numbered_windows("rec_text")
 def write_chunks(i: Inputs) -> DataFrame:
     path = scratch_dir(i.spark, "chunks")
     chunks = ingest.dedupe_chunks(segment.segment(rec_docs(i), segment.recursive))
-    rows = sinks.stored_chunk_rows(chunks)
+    rows = settle(sinks.stored_chunk_rows(chunks), "cut-chunks")
     sinks.append_new_chunks(i.spark, rows, path, buckets=8)
     sinks.append_new_chunks(i.spark, rows, path, buckets=8)  # finds nothing new
     return sinks.read_chunks(i.spark, path).select(

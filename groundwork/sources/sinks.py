@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from groundwork.functions.text import truncate_title
+from groundwork.functions.text import is_blank, truncate_title
 from groundwork.operators.segment import chunk_metadata
-from groundwork.session import discard, remove_folder, settle
+from groundwork.session import discard, is_small, remove_folder, settle, ship
 from groundwork.sources.tables import CHUNK_SCHEMA
 
 BUCKETS = 64
@@ -84,13 +84,30 @@ def _buckets_of(rows: DataFrame, buckets: int) -> list[int]:
 
 
 def new_rows(chunks: DataFrame, path: str, buckets: int = BUCKETS) -> DataFrame:
-    """The chunks that the table does not hold yet. Reads keys only, and only of the folders that they belong to."""
+    """The chunks that the table does not hold yet. Reads keys only, and only of the folders that they belong to.
+
+    Keys alone are counted and compared; texts move only where many chunks are held and many are new, or to choose
+    among repeated ones.
+    """
     from groundwork.operators.ingest import dedupe_chunks
 
+    key = ["document_id", "chunk_hash"]
     stored = _stored_in(chunks.sparkSession, path, _buckets_of(chunks, buckets))
-    held = stored.select("doc_bucket", "document_id", "chunk_hash")
-    fresh = dedupe_chunks(chunks).withColumn("doc_bucket", document_bucket(buckets))
-    return fresh.join(held, ["doc_bucket", "document_id", "chunk_hash"], "left_anti").drop("doc_bucket")
+    held = stored.select("doc_bucket", *key, F.lit(True).alias("held")).distinct()
+    filled = chunks.where(~is_blank(F.col("content")))
+    counted = filled.groupBy(*key).agg(F.count("*").alias("copies")).withColumn("doc_bucket", document_bucket(buckets))
+    keys = counted.join(held, ["doc_bucket", *key], "left").select(*key, "copies", "held")
+    known, new = keys.where("held").select(*key), keys.where("held IS NULL").select(*key)
+    if is_small(known):
+        fresh = filled.join(F.broadcast(known), key, "left_anti")
+    else:
+        fresh = filled.join(ship(new, is_small(new)), key, "left_semi")
+    repeated = keys.where("held IS NULL AND copies > 1").select(*key)
+    if repeated.isEmpty():
+        return fresh
+    few = is_small(repeated)
+    once = fresh.join(ship(repeated, few), key, "left_anti")
+    return once.unionByName(dedupe_chunks(fresh.join(ship(repeated, few), key, "left_semi")))
 
 
 def append_new_chunks(

@@ -94,3 +94,13 @@ def test_a_run_that_fails_before_or_behind_the_staging_loses_nothing(spark, tabl
     assert sinks.finish_replacements(spark, table) == 0
     sinks.replace_documents(spark, table, ids(spark, 1000), chunks(spark, []), buckets=8)
     assert held(spark, table) == expected
+
+
+def test_texts_move_only_to_choose_among_repeated_chunks(spark, tmp_path):
+    table = str(tmp_path / "chunks")
+    sinks.append_new_chunks(spark, chunks(spark, [(1, "one"), (2, "two")]), table, buckets=8)
+    fresh = sinks.new_rows(chunks(spark, [(1, "one"), (2, "other"), (3, " ")]), table, buckets=8)
+    assert "Window" not in fresh._jdf.queryExecution().toString()
+    assert [(r.document_id, r.content) for r in fresh.collect()] == [(2, "other")]
+    again = sinks.new_rows(chunks(spark, [(1, "one"), (4, "twice"), (4, "twice"), (5, "once")]), table, buckets=8)
+    assert sorted((r.document_id, r.content) for r in again.collect()) == [(4, "twice"), (5, "once")]
