@@ -70,3 +70,37 @@ def test_many_copies_in_one_batch_are_one_document(spark, tmp_path):
     assert {o[0] for n, o in found.items() if n % 3} == {1}
     assert len(held(spark, base)) == 101
     assert registry.statuses(spark, base).where(F.col("status") != "INDEXED").count() == 0
+
+
+def test_a_batch_is_judged_as_its_events_one_by_one(spark):
+    files = [("known", "INDEXED", 1), ("open", "PROCESSING", 2), ("bad", "FAILED", 3), ("told", "PROCESSING", 4)]
+    events = [("known", 10, "INDEXED"), ("known", 11, "INDEXED"), ("open", 12, None), ("bad", 14, "INDEXED"), ("bad", 13, None),
+              ("told", None, "FAILED"), ("told", 15, None), ("new", 17, "INDEXED"), ("new", 16, "INDEXED"), (None, 18, "FAILED"),
+              (None, 19, "FAILED"), ("never", None, "INDEXED"), ("both", 20, None), ("both", None, "INDEXED")]
+    rows = spark.createDataFrame([(h, u, f"p{u}", v, n) for n, (h, u, v) in enumerate(events)],
+                                 "file_hash string, upload_id long, path string, verdict string, row long")
+    outcomes, changed = registry.register(rows, spark.createDataFrame(files, registry.FILE))
+    state, expected = {h: (s, d) for h, s, d in files}, {}
+    # Uploads by id first, then the verdicts; a verdict known with the upload takes the place of PROCESSING.
+    for h, upload, verdict in sorted(events, key=lambda e: (e[1] is None, e[1] or 0)):
+        status, document = state.get(h, (None, None))
+        if upload is None:
+            if document is not None:
+                state[h] = (registry.step(status, document, {"upload_id": None, "verdict": verdict})[3], document)
+            continue
+        fresh = any(expected[u][4] for u in expected if expected[u][5] == h)
+        outcome, document, action, after = registry.step("PROCESSING" if fresh else status, document, {"upload_id": upload, "verdict": verdict})
+        opened = outcome == "QUEUED"
+        expected[upload] = (outcome, document, action, (verdict or after) if opened or fresh else after, opened, h)
+        if opened:
+            state[h] = (verdict or after, document)
+    found = {r.upload_id: (r.outcome, r.document_id, r.action, r.status) for r in outcomes.collect()}
+    assert found == {u: e[:4] for u, e in expected.items()}
+    after = {h: (s, d) for h, s, d in files} | {r.file_hash: (r.status, r.document_id) for r in changed.collect()}
+    assert after == state
+
+
+def test_files_are_judged_without_a_python_call_for_each(spark):
+    rows = spark.createDataFrame([("h", 1, "p", "INDEXED", 0)], "file_hash string, upload_id long, path string, verdict string, row long")
+    outcomes, _ = registry.register(rows, spark.createDataFrame([], registry.FILE))
+    assert "Pandas" not in outcomes._jdf.queryExecution().toString()
