@@ -14,6 +14,7 @@ from groundwork.functions import vectors as vx
 from groundwork.operators import fulltext as ft
 from groundwork.operators import ranking, scope
 from groundwork.session import scratch_dir
+from groundwork.sources import postings
 from groundwork.sources.postings import TextIndex
 
 
@@ -162,3 +163,22 @@ def test_strict_search_hands_on_complete_chunks_only(spark, monkeypatch):
     found = ft.match_index(index, asked, WORDS, modes=["strict"]).collect()
     assert sorted((r.chunk_id, r.mode) for r in found) == [(0, "strict"), (20, "strict")]
     assert written["strict-pairs"].count() == 2
+
+
+def test_postings_are_grouped_before_they_are_shuffled(spark):
+    # A chunk of more tokens than an Arrow batch has rows, next to short ones, an empty one and two of one id.
+    long = " ".join(f"w{n % 700}" for n in range(25_000))
+    rows = [(1, 1, "", long), (2, 1, "alpha", "beta alpha"), (3, 2, None, ""), (4, 2, "gamma", long), (5, 3, "one two", "one"),
+            (5, 3, "two", "two three")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, document_id long, title string, content string").coalesce(1)
+    found = postings.postings_of(chunks, ("beta",))
+    tokens = postings.tokens_of(chunks, ("beta",)).collect()
+    expected = {}
+    for t in tokens:
+        expected.setdefault((t.term, t.chunk_id, t.document_id), []).append(t.position)
+    got = found.collect()
+    assert len(got) == len(expected)
+    assert {(r.term, r.chunk_id, r.document_id): (r.hits, r.positions) for r in got} == {
+        k: (len(p), sorted(p)) for k, p in expected.items()}
+    plan = postings.postings_of(chunks.where("chunk_id < 5"), ())._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
