@@ -212,6 +212,33 @@ def test_near_dedup_stage_drops_near_copies(spark):
     assert rows(corpus_pipeline.near_dedup_stage(spark, docs, SF), "doc_id") == [(0,), (9,)]
 
 
+def test_near_dedup_stage_drops_what_line_dedup_left_of_near_copies(spark, tmp_path):
+    """Near copies go whole, with and without an id; what two rows have left does not link what they were cut from."""
+    import corpus_pipeline
+
+    def lined(word, changed="", last=""):
+        made = [" ".join(f"{word}{n}x{k}" for k in range(12)) for n in range(20)] + ([last] if last else [])
+        if changed:
+            made[3] = " ".join(f"{changed}{k}" for k in range(12))
+        return "\n".join(made)
+
+    made = [(1, lined("a")), (2, lined("a", "b")), (3, lined("c")), (4, lined("c", "d") + "\n" + lined("e")),
+            (5, lined("f")), (6, lined("f", last="Same rest here")), (7, lined("g")), (8, lined("g", last="same REST here")),
+            (9, lined("h")), (9, lined("h", "i")), (None, lined("j")), (None, lined("j", "k")), (None, lined("l"))]
+    frame(spark, made).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    corpus_pipeline.line_dedup_stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/cut.parquet")
+    cut = spark.read.parquet(f"{tmp_path}/cut.parquet")
+    assert cut.count() == len(made)
+    kept = corpus_pipeline.near_dedup_stage(spark, cut, str(tmp_path))
+    assert kept.columns == cut.columns
+    left = sorted((str(r.doc_id), sorted({w[0] for w in r.text.split()})) for r in kept.collect())
+    named = [(i, w) for i, w in left if i not in ("9", "None")]
+    # Half of document 4 is new.
+    assert named == [("1", ["a"]), ("3", ["c"]), ("4", ["d", "e"]), ("5", ["f"]), ("7", ["g"])]
+    assert len([i for i, _ in left if i == "9"]) == 1 and len([i for i, _ in left if i == "None"]) == 2
+
+
 def test_near_copies_of_documents_with_common_boilerplate(spark, monkeypatch):
     """Dissimilar texts that share most of their words meet in bands, but few of their pairs move any set."""
     compared = []
