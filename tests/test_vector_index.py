@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from groundwork.operators import scope
 from groundwork.operators import vector_search as vs
+from groundwork.operators.ranking import Edges
 from groundwork.session import scratch_dir
 from groundwork.sources.vector_index import VectorIndex, code, k_means
 
@@ -127,3 +128,22 @@ def test_few_pairs_are_multiplied_in_full(monkeypatch):
     exact = np.round(unit[0] @ unit[1].T, 12)
     assert [found[q] for q in range(200)] == [np.lexsort((np.arange(8000), -exact[q]))[:10].tolist() for q in range(200)]
     assert sum(counted) < 200 * 8000 / 8
+
+
+def test_many_questions_make_no_longer_plan(index, asked, visibility):
+    """Each block of questions writes what it found; the plan of the result reads that and nothing else."""
+    found = vs.search_index(index, asked, visibility, probes=4, question_rows=7)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+    assert rows(found) == rows(vs.search_index(index, asked, visibility, probes=4))
+
+
+def test_edges_are_the_kth_best():
+    rng = np.random.default_rng(17)
+    best, seen = Edges(30, 3), [[] for _ in range(30)]
+    for n in (5, 200, 1, 0, 60):
+        asked = np.sort(np.concatenate([rng.integers(0, 29, n), np.full(n // 2, 4)]))
+        scores = np.round(rng.normal(size=len(asked)), 1)
+        best.add(asked, scores)
+        for q, x in zip(asked, scores, strict=True):
+            seen[q].append(x)
+        assert best.edge().tolist() == [sorted(x)[-3] if len(x) >= 3 else -np.inf for x in seen]
